@@ -92,3 +92,62 @@ def mix(x: np.ndarray) -> np.ndarray:
     x *= _C2
     x ^= x >> np.uint64(31)
     return x
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_MASKS = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
+_K = np.uint64(0x9E3779B97F4A7C15)
+
+
+def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of concatenated texts, and n+1 offsets of each text's first word."""
+    word = ~_SPACE[data]
+    before = np.zeros(len(data), bool)
+    before[1:] = word[:-1]
+    after = np.zeros(len(data), bool)
+    after[:-1] = word[1:]
+    inner = offsets[(offsets > 0) & (offsets < len(data))]  # words never cross texts
+    before[inner] = False
+    after[inner - 1] = False
+    starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte string [start, end)."""
+    import xxhash
+
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    size = ends - starts
+    h = mix((size.astype(np.uint64) + np.uint64(1)) * _K)
+    at = np.arange(len(starts))
+    k = 0
+    while len(at) and k < 4096:
+        left = size[at] - k
+        chunk = np.ascontiguousarray(eight[starts[at] + k]).view("<u8")[:, 0] & _MASKS[np.minimum(left, 8)]
+        h[at] = mix((h[at] ^ chunk) * _K)
+        k += 8
+        at = at[left > 8]
+    for i in at:
+        h[i] ^= np.uint64(xxhash.xxh3_64_intdigest(padded[starts[i] : ends[i]].tobytes()))
+    return h
+
+
+def rolling(h: np.ndarray, k: int, step: int = 1) -> np.ndarray:
+    """Hash of each k consecutive values, step apart, before finishing by mix(): len(h) - (k-1)*step of them."""
+    n = len(h) - (k - 1) * step
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = h[:n].copy()
+    for j in range(1, k):
+        out *= _K
+        out += h[j * step : j * step + n]
+    return out
+
+
+def dealt(spark: SparkSession, docs: DataFrame, each: int = 16 << 20) -> int:
+    """Buckets for an exchange: so many that each gets about `each` bytes of text, the session's partitions at least."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // each))
