@@ -263,7 +263,7 @@ def judge(docs: DataFrame, chain: Chain, *keep: Column, threshold: float = 0.7)
             score = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32), pa.int32())], names=[*batch.schema.names[:-1], "score", "predicted"])
 
-    return rows.mapInArrow(run, schema.add("score", "double").add("predicted", "int"))
+    return rows.mapInArrow(run, schema.add("score", "double").add("predicted", "integer"))
 
 
 def held_out() -> Column:

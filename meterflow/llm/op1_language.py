@@ -100,12 +100,15 @@ def train_ftrl(rows, n_classes: int, alpha=0.3, beta=1.0, l1=1e-3, l2=1e-3, epoc
 
 
 def calibrate(logits: np.ndarray, classes: np.ndarray) -> float:
-    """The temperature of least log-loss."""
+    """The temperature of least log-loss; each answer counts as right with odds of n + 1 to 1, so none is ever sure."""
     best, out = np.inf, 1.0
+    n = len(logits)
+    doubt = 1.0 / (n + 2)
     for t in np.geomspace(0.02, 10, 80):
         z = logits / t
         z -= z.max(axis=1, keepdims=True)
-        loss = float(np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(classes)), classes])) if len(classes) else 0.0
+        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+        loss = -float(np.mean((1 - doubt) * z[np.arange(n), classes] + doubt * z.mean(axis=1)))
         if loss < best - 1e-9:
             best, out = loss, float(t)
     return out

@@ -10,56 +10,67 @@ import struct
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from meterflow.llm.common import read
-
-_M = (1 << 64) - 1
-
-
-def _hash(word: bytes, seed: int) -> int:
-    """A seeded 64-bit hash of a word."""
-    h = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=seed.to_bytes(4, "little")).digest(), "little")
-    return h
-
+from meterflow.llm.common import buffers, hash_words, mix, pieces, read
 
 class MinimalPerfectHash:
-    """Hash and displace: n keys onto 0..n-1 with one displacement for each bucket of about four keys."""
+    """Hash and displace: n keys onto 0..n-1 with one number for each bucket of about three keys.
+
+    A bucket of several keys holds the displacement under which all of them fall on free slots; a bucket
+    of one key holds its slot itself, as -1 - slot, so the last slots need no search.
+    """
 
     def __init__(self, keys: list[bytes]):
-        n = self.n = max(1, len(keys))
-        self.buckets = max(1, n // 4)
-        groups: dict[int, list[tuple[int, int]]] = {}
-        for i, k in enumerate(keys):
-            h = _hash(k, 0)
-            groups.setdefault(h % self.buckets, []).append((i, h))
-        self.shift = [0] * self.buckets
-        taken, self.slot = [False] * n, [0] * n
-        for b, members in sorted(groups.items(), key=lambda g: -len(g[1])):
-            d = 0
-            while True:
-                at = [self._place(h, d) for _, h in members]
-                if len(set(at)) == len(at) and not any(taken[a] for a in at):
+        self.n = max(1, len(keys))
+        self.buckets = max(1, self.n // 3)
+        h = self.hashes(keys)
+        bucket = (h % np.uint64(self.buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+        size = np.diff(edges)
+        self.shift = np.zeros(self.buckets, np.int64)
+        self.slot = np.zeros(self.n, np.int64)
+        taken = np.zeros(self.n, bool)
+        for b in np.argsort(-size, kind="stable").tolist():
+            if size[b] < 2:
+                break
+            members = order[edges[b] : edges[b + 1]]
+            for first in range(0, 1 << 24, 64):  # 64 displacements at once
+                at = self._place(h[members][None, :], np.arange(first, first + 64)[:, None])
+                at.sort(axis=1)
+                good = np.flatnonzero(~taken[at].any(axis=1) & (at[:, 1:] != at[:, :-1]).all(axis=1))
+                if len(good):
                     break
-                d += 1
-            self.shift[b] = d
-            for a, (i, _) in zip(at, members):
-                taken[a], self.slot[a] = True, i
-
-    def _place(self, h: int, d: int) -> int:
-        x = (h + d * 0x9E3779B97F4A7C15) & _M
-        x = ((x ^ (x >> 31)) * 0xD6E8FEB86659FD93) & _M
-        return (x ^ (x >> 32)) % self.n
-
-    def index(self, word: bytes) -> int:
-        """Number of the only key that can equal word; the caller compares."""
-        h = _hash(word, 0)
-        return self.slot[self._place(h, self.shift[h % self.buckets])]
+            self.shift[b] = first + good[0]
+            place = self._place(h[members], self.shift[b])
+            taken[place] = True
+            self.slot[place] = members
+        single = np.flatnonzero(size == 1)
+        free = np.flatnonzero(~taken)[: len(single)]
+        self.shift[single] = -1 - free
+        self.slot[free] = order[edges[single]]
+
+    @staticmethod
+    def hashes(words: list[bytes]) -> np.ndarray:
+        ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+        return hash_words(np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends)
+
+    def _place(self, h: np.ndarray, d) -> np.ndarray:
+        return (mix(h + np.asarray(d).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(self.n)).astype(np.int64)
+
+    def index(self, words: list[bytes]) -> np.ndarray:
+        """Number of the only key that can equal each word; the caller compares."""
+        if not words:
+            return np.zeros(0, np.int64)
+        h = self.hashes(words)
+        d = self.shift[(h % np.uint64(self.buckets)).astype(np.int64)]
+        return self.slot[np.where(d < 0, -1 - d, self._place(h, np.maximum(d, 0)))]
 
 
 class Bpe:
     """Encoder and decoder of one rank file; tiers: whole pre-token by perfect hash, else merges by heap."""
 
-    #: Pre-tokens remembered at most; beyond that the memory is emptied, which changes no result.
-    REMEMBERED = 200_000
+    #: Pre-tokens in each of the two remembered generations; forgetting changes no result.
+    REMEMBERED = 150_000
 
     def __init__(self, ranks_path: str, pattern: str):
         import regex
@@ -73,78 +84,87 @@ class Bpe:
                     self.words.append(base64.b64decode(word))
                     self.ids.append(int(rank))
         self.perfect = MinimalPerfectHash(self.words)
-        self.by_id = np.empty(max(self.ids, default=-1) + 1, object)
+        self.ranks = dict(zip(self.words, self.ids))  # for pairs within a miss
+        by_id: list[bytes | None] = [None] * (max(self.ids, default=-1) + 1)
         for w, i in zip(self.words, self.ids):
-            self.by_id[i] = w
-        self.by_id_list = self.by_id.tolist()
+            by_id[i] = w
+        self.by_id = by_id
         self.find = regex.compile(pattern).findall
-        self.seen: dict[str, bytes] = {}
-
-    def rank(self, word: bytes) -> int | None:
-        i = self.perfect.index(word)
-        return self.ids[i] if self.words and self.words[i] == word else None
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def merges(self, word: bytes) -> list[int]:
-        """Ids of a word by merging the pair of least rank, leftmost first, over a linked list of its bytes."""
-        n = len(word)
-        end, nxt, prv = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
-        alive = [True] * n
-        heap: list[tuple[int, int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = nxt[i]
-            if j < n and (r := self.rank(word[i : end[j]])) is not None:
-                heapq.heappush(heap, (r, i, j, end[j]))
-
+        """Ids of a word by merging the pair of least rank, leftmost first.
+
+        The parts are a linked list over the word's bytes; a heap holds rank * n + first byte of each
+        pair, and an entry counts only while its pair still has that rank.
+        """
+        n, get = len(word), self.ranks.get
+        nxt, prv = list(range(1, n + 2)), list(range(-1, n))
+        pair = [-1] * n
+        heap = []
         for i in range(n - 1):
-            offer(i)
+            r = get(word[i : i + 2])
+            if r is not None:
+                pair[i] = r
+                heap.append(r * n + i)
+        heapq.heapify(heap)
         while heap:
-            _, i, j, stop = heapq.heappop(heap)
-            if not (alive[i] and j < n and alive[j] and nxt[i] == j and end[j] == stop):
+            r, i = divmod(heapq.heappop(heap), n)
+            if pair[i] != r:
                 continue
-            alive[j] = False
-            end[i] = stop
-            nxt[i] = nxt[j]
-            if nxt[i] < n:
-                prv[nxt[i]] = i
-            offer(i)
-            if prv[i] >= 0:
-                offer(prv[i])
+            j = nxt[i]
+            pair[j] = -1
+            k = nxt[i] = nxt[j]
+            prv[k] = i
+            for a in (prv[i], i):
+                if a >= 0 and nxt[a] < n:
+                    r = get(word[a : nxt[nxt[a]]])
+                    if r is None:
+                        pair[a] = -1
+                    elif r != pair[a] or a == i:
+                        pair[a] = r
+                        heapq.heappush(heap, r * n + a)
+                elif a >= 0:
+                    pair[a] = -1
         out, i = [], 0
         while i < n:
-            r = self.rank(word[i : end[i]])
-            if r is None:
-                raise ValueError(f"no rank for byte {word[i : end[i]]!r}")
-            out.append(r)
+            out.append(self.ranks[word[i : nxt[i]]])
             i = nxt[i]
         return out
 
-    def packed(self, token: str) -> bytes:
-        """Ids of one pre-token as little-endian 32-bit integers."""
-        word = token.encode()
-        whole = self.rank(word)
-        ids = [whole] if whole is not None else self.merges(word)
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian 32-bit integers. Long texts go in parts, so memory stays bounded."""
-        seen = self.seen
-        tokens = self.find(text)
-        try:
-            return b"".join([seen[t] for t in tokens])
-        except KeyError:
-            if len(seen) > self.REMEMBERED:
-                seen.clear()
-            known = {}
-            for t in tokens:
-                if t not in known:
-                    known[t] = got = seen.get(t) or self.packed(t)
-                    if len(t) <= 64:
-                        seen[t] = got
-            return b"".join([known[t] for t in tokens])
+    def resolve(self, tokens: list[str]) -> dict[str, bytes]:
+        """Ids of distinct pre-tokens as little-endian 32-bit integers: all through the perfect hash, then misses."""
+        words = [t.encode() for t in tokens]
+        out = {}
+        for t, w, i in zip(tokens, words, self.perfect.index(words).tolist()):
+            ids = [self.ids[i]] if self.words and self.words[i] == w else self.merges(w)
+            out[t] = struct.pack(f"<{len(ids)}I", *ids)
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers."""
+        tokens = [self.find(t) for t in texts]
+        known, missing = {}, []
+        new, old = self.new, self.old
+        for t in set().union(*tokens):
+            got = new.get(t)
+            if got is None:
+                got = old.get(t)
+                if got is None:
+                    missing.append(t)
+                    continue
+                new[t] = got
+            known[t] = got
+        found = self.resolve(missing)
+        known.update(found)
+        new.update((t, v) for t, v in found.items() if len(t) <= 64)
+        if len(new) > self.REMEMBERED:
+            self.new, self.old = {}, new
+        return [b"".join([known[t] for t in row]) for row in tokens]
 
     def decode(self, ids: np.ndarray) -> bytes:
-        table = self.by_id_list
+        table = self.by_id
         return b"".join([table[i] for i in ids.tolist()])
 
 
@@ -174,12 +194,11 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
         bpe = encoder(ranks_path, pattern)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for batch in batches:
-            size = 512
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
+            _, offsets = buffers(batch.column(1))
+            for at, to in pieces(offsets, 2 << 20):
+                part = batch.slice(at, to - at)
                 counts, a, b, lists = [], [], [], []
-                for text in part.column(1):
-                    packed = bpe.encode(text.as_py() or "")
+                for packed in bpe.encode([t or "" for t in part.column(1).to_pylist()]):
                     ids = np.frombuffer(packed, "<u4")
                     counts.append(len(ids))
                     a.append(sha(packed))

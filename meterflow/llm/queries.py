@@ -5,6 +5,10 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
+    "op1_language",
+    "op2_suffix",
+    "op6_simhash",
+    "op10_quality",
     "op4_mixing",
     "op5_bpe",
     "op8_urls",
