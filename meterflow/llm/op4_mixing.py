@@ -43,21 +43,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
     return x.select("source", "source_size", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 11) -> DataFrame:
-    """One row a document: its columns doc_id, source, and size, source_size, target, copies, taken.
-
-    Each source takes its documents floor(target / source_size) times whole, and once more those whose
-    hash lies below the source's threshold. The threshold comes from word sums by source and hash
-    bucket: a running sum over at most 2**bits buckets of a source finds the bucket where the budget
-    ends, and only that bucket's documents enter the next, finer histogram. Larger budgets keep all
-    that smaller ones take. Nothing is sorted but buckets; a hot source is summed before it is dealt.
-
-    Null source: a source of its own, last. Null or empty text: size 0, taken 0. Equal doc_id: equal
-    decision. Empty table: no rows. A null doc_id hashes like any value.
-    """
+def mix_plan(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+    """(documents, plan): doc_id, source, size, _u of each row; and _whole, _under and targets of each source."""
     used = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"))
-    h = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    base = cut(used.withColumn("_u", F.shiftrightunsigned(h, 64 - sum(LEVELS))), "mixing")
+    base = cut(used.withColumn("_u", _draw(F.col("doc_id"), seed)), "mixing")
     sums = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = cut(targets(sums, tuple(weights), share, most), "mixing-targets")
     goal = goal.withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
@@ -80,12 +69,46 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: fl
     # Of the last bucket, all or nothing, whichever ends nearer to the budget.
     cutoff = last.select("source", (F.col("_at") + F.when(F.col("_hi") - F.col("_left") < F.col("_left") - F.col("_lo"), 1).otherwise(0)).alias("_under"))
     plan = goal.alias("g").join(cutoff.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source")), "left").select("g.source", "g.source_size", "g.target", "g._whole", F.coalesce("c._under", F.when(F.col("g._left") > 0, F.lit(1 << sum(LEVELS))).otherwise(0)).alias("_under"))
-    plan = cut(plan, "mixing-plan").alias("p")
-    out = base.alias("b").join(plan, F.col("b.source").eqNullSafe(F.col("p.source")))
+    return base, cut(plan, "mixing-plan")
+
+
+def _draw(doc_id, seed: int):
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id), 64 - sum(LEVELS))
+
+
+def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 11) -> DataFrame:
+    """One row a document: its doc_id and source, and size, source_size, target, copies, taken.
+
+    Each source takes its documents floor(target / source_size) times whole, and once more those whose
+    hash lies below the source's threshold. The threshold comes from word sums by source and hash
+    bucket: a running sum over at most 2**bits buckets of a source finds the bucket where the budget
+    ends, and only that bucket's documents enter the next, finer histogram. Larger budgets keep all
+    that smaller ones take. Nothing is sorted but buckets; a hot source is summed before it is dealt.
+
+    Null source: a source of its own, last. Null or empty text: size 0, taken 0. Equal doc_id: equal
+    decision. Empty table: no rows. A null doc_id hashes like any value. Other columns are not read.
+    """
+    base, plan = mix_plan(docs, weights, share, most, seed)
+    b, p = base.alias("b"), plan.alias("p")
+    out = b.join(p, F.col("b.source").eqNullSafe(F.col("p.source")))
     copies = F.col("p._whole") + F.when(F.col("b._u") < F.col("p._under"), 1).otherwise(0)
     return out.select("b.doc_id", "b.source", "b.size", "p.source_size", "p.target", F.least(copies, F.lit(int(most))).alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
 
 
+def apply_mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 11) -> DataFrame:
+    """docs' own columns, each row as often as the mix takes it; a row taken no time goes.
+
+    Thresholds are applied to each row by its source, without a join of documents. Rows without words
+    are taken like others of their hash. Columns of docs may have any names.
+    """
+    _, plan = mix_plan(docs, weights, share, most, seed)
+    small = plan.select(F.col("source").alias("_mix_s"), F.col("_whole").alias("_mix_w"), F.col("_under").alias("_mix_u"))
+    joined = docs.join(small, docs["source"].eqNullSafe(small["_mix_s"]))
+    copies = F.least(F.col("_mix_w") + F.when(_draw(docs["doc_id"], seed) < F.col("_mix_u"), 1).otherwise(0), F.lit(int(most)))
+    times = F.explode(F.when(copies > 0, F.array_repeat(F.lit(0), copies.cast("int"))).otherwise(F.array().cast("array<int>")))
+    return joined.select(*[docs[c] for c in docs.columns], times.alias("_mix_t")).drop("_mix_t")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 

@@ -7,11 +7,14 @@ import importlib
 MODULES = (
     "op1_language",
     "op2_suffix",
-    "op6_simhash",
-    "op10_quality",
+    "op3_fingerprints",
     "op4_mixing",
     "op5_bpe",
+    "op6_simhash",
+    "op7_substrings",
     "op8_urls",
+    "op9_embeddings",
+    "op10_quality",
 )
 
 _found = [importlib.import_module(f"meterflow.llm.{m}") for m in MODULES]
