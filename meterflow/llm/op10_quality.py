@@ -279,7 +279,8 @@ def quality_model(spark: SparkSession, sf_dir: str, per_label: int = 2000) -> Ch
     wanted = F.lit(False)
     for q, k in n.items():  # fewer rows meet in the join; fit() chooses among the same by the same hash
         wanted = wanted | ((F.col("quality") == q) & (u < min(1.0, per_label / k)))
-    return fit(docs.join(marks.where(wanted), docs["doc_id"] == F.col("_l")).select("doc_id", "text", "quality"), 10 * per_label, n)
+    chosen = F.broadcast(marks.where(wanted))  # about per_label rows of each label, whatever the input
+    return fit(docs.join(chosen, docs["doc_id"] == F.col("_l")).select("doc_id", "text", "quality"), 10 * per_label, n)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
