@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterflow import shipped
+
 SCHEMA = """batch_id long, rm_id long, metric_id long, dp_id long, header_tenant string,
 resource map<string,string>, name string, unit string, kind string, temporality string, is_monotonic boolean,
 labels map<string,string>, ts_ns long, value double"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return shipped(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,6 +120,43 @@ def folded(df: DataFrame, key: str, order: str, fold, out: str) -> DataFrame:
     return df.groupBy(key).applyInPandas(run, ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + f", {name} {kind}")
 
 
+# Folds over rows (queue, seq, value, ok): value stands for pressure or latency, seq for seconds.
+
+
+def spill_modes(rows):
+    mode, out = 0, []
+    for _, _, v, _ in rows:
+        mode = spill_mode(mode, min(v / 40, 1.0))
+        out.append(MODES[mode])
+    return out
+
+
+def circuit_states(rows):
+    c, out = Circuit(3, 60), []
+    for _, seq, _, ok in rows:
+        if c.allow(int(seq)):
+            c.record(bool(ok), int(seq))
+        out.append(c.state)
+    return out
+
+
+def tuned_bytes(rows):
+    t, out = BatchTuner(), []
+    for _, seq, _, ok in rows:
+        t.success() if ok else t.failure(seq % 5 == 0)
+        out.append(t.now)
+    return out
+
+
+def scaled_workers(rows):
+    w, out = Scaler(), []
+    for _, seq, v, _ in rows:
+        w.observe(int(v * 1e6))
+        w.decide(int(v * 4) % 200, int(seq))
+        out.append(w.now)
+    return out
+
+
 def backoff(retries: Column, base_ms: int, most_ms: int) -> Column:
     """base * 2**retries up to the most; 0 before the first retry."""
     return F.when(retries <= 0, F.lit(0.0)).otherwise(F.least(F.lit(float(base_ms)) * F.pow(F.lit(2.0), retries), F.lit(float(most_ms))))
