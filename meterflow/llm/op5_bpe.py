@@ -51,8 +51,9 @@ class MinimalPerfectHash:
 
     @staticmethod
     def hashes(words: list[bytes]) -> np.ndarray:
-        ends = np.cumsum([len(w) for w in words], dtype=np.int64)
-        return hash_words(np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends)
+        size = np.array([len(w) for w in words], np.int64)
+        ends = np.cumsum(size)
+        return hash_words(np.frombuffer(b"".join(words), np.uint8), ends - size, ends)
 
     def _place(self, h: np.ndarray, d) -> np.ndarray:
         return (mix(h + np.asarray(d).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(self.n)).astype(np.int64)
