@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meterflow.functions import labels as L
-from meterflow.model import DP, event_points, table
+from meterflow.model import DAY, DP, event_points, table
 from meterflow.operators import control as C
 from meterflow.operators import exchange as X
+from meterflow.operators import limits as A
 from meterflow.operators import sli as S
+from meterflow.operators import tenant as T
+from meterflow.operators.stats import per_metric
+from meterflow.plans.rules import load, route
 from meterflow.queries.registry import Registry
-from meterflow.sources import otlp, remote_write
+from meterflow.sources import otlp, otlp_proto, remote_write
 
 Q = Registry()
 
@@ -129,3 +133,33 @@ Q("src_otlp_http", _ROWS)(lambda s, d: otlp.decode(otlp.encode(event_points(s, d
 Q("src_prw", DP + "SELECT name, u, k, ts_ns - ts_ns % 1000000 AS ts_ns, value FROM dp")(lambda s, d: remote_write.samples(remote_write.decode(remote_write.encode(event_points(s, d)))).select("name", L.get(M(), "user").alias("u"), L.get(M(), "k").alias("k"), "ts_ns", "value"))
 for _e in ("gzip", "zlib", "deflate", "zstd", "none"):
     Q(f"src_decompress_{_e}", DP + "SELECT name, COUNT(*) AS n FROM dp GROUP BY 1")(lambda s, d, e=_e: remote_write.decode(remote_write.encode(event_points(s, d), "batch_id", e)).groupBy("name").agg(F.count(F.lit(1)).alias("n")))
+Q("src_codec_otlp", _ROWS)(lambda s, d: otlp_proto.decode(otlp_proto.encode(event_points(s, d))).select("name", L.get(F.col("resource"), "service.name").alias("service"), L.get(M(), "user").alias("u"), L.get(M(), "k").alias("k"), "ts_ns", "value"))
+Q("src_codec_prw", DP + "SELECT name, 0::BIGINT AS exemplars, COUNT(*) AS samples FROM dp GROUP BY 1")(lambda s, d: remote_write.decode(remote_write.encode(event_points(s, d), "batch_id", "none")).groupBy("name", "exemplars").agg(F.sum(F.size("samples")).alias("samples")))
+
+_YAML = """
+processing_rules:
+- {name: no-errors, action: drop, input: error}
+- name: tiers
+  action: classify
+  input: ".*"
+  mappings:
+  - {sources: [user], target: tier, values: [["1.*", gold], [".*", other]]}
+"""
+_OLDER = """
+default_rate: 1.0
+rules:
+- {name: quiet, match: {__name__: view, k: "[0-4].*"}, rate: 0}
+"""
+
+
+def _routed(text):
+    return lambda s, d: route(event_points(s, d), load(text)).where("terminal_action IS NULL").select("dp_id", L.get(M(), "tier").alias("tier"))
+
+
+Q("src_config", DP + "SELECT dp_id, CASE WHEN regexp_full_match(u, '1.*') THEN 'gold' ELSE 'other' END AS tier FROM dp WHERE name <> 'error'")(_routed(_YAML))
+Q("flt_legacy", DP + "SELECT dp_id, '' AS tier FROM dp WHERE NOT (name = 'view' AND regexp_full_match(k, '[0-4].*'))")(_routed(_OLDER))
+Q("fused", DP + ", v AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY ts_ns // 86400000000000 ORDER BY ts_ns, dp_id) <= 100 AS ok FROM dp) SELECT dp_id, service AS tenant FROM v WHERE ok")(
+    lambda s, d: (lambda lim: A.act(A.admit(T.inject(T.detect(event_points(s, d), "attribute", "service.name")), lim), lim))(A.Limit("lim", window_ns=DAY, max_rate=100, action="drop")).select("dp_id", L.get(M(), "tenant").alias("tenant"))
+)
+Q("st_degrade", DP + "SELECT name, COUNT(*) AS datapoints FROM dp GROUP BY 1")(lambda s, d: per_metric(event_points(s, d), full=False))
+Q("snk_prw_sharded")(lambda s, d: X.with_owner(event_points(s, d), ["user"], _RING).groupBy("endpoint").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("shard_key").alias("keys")))
