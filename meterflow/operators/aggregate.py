@@ -15,8 +15,11 @@ def quantile_suffix(q: float) -> str:
     return f"_p{p:.0f}" if abs(p - round(p)) < 1e-9 else f"_p{p:.1f}"
 
 
-def value_of(name: str, interval_ns: int, points: tuple[float, ...] = ()) -> Column:
-    """One function over the rows of a group, in order of (ts_ns, dp_id) where order matters."""
+def value_of(name: str, interval_ns: int, points: tuple[float, ...] = (), approximate: bool = False) -> Column:
+    """One function over the rows of a group, in order of (ts_ns, dp_id) where order matters.
+
+    Quantiles are exact, or with approximate come from a bounded summary (rank error 1 in 10,000).
+    """
     v, order = F.col("value"), F.struct("ts_ns", "dp_id")
     first, last = F.min_by(v, order), F.max_by(v, order)
     return {
@@ -30,7 +33,7 @@ def value_of(name: str, interval_ns: int, points: tuple[float, ...] = ()) -> Col
         "rate": lambda: (last - first) / F.lit(interval_ns / 1e9),
         "stddev": lambda: F.stddev_pop(v),
         "stdvar": lambda: F.var_pop(v),
-        "quantiles": lambda: F.percentile(v, F.array(*[F.lit(q) for q in points])),
+        "quantiles": lambda: F.percentile_approx(v, list(points), 10_000) if approximate else F.percentile(v, F.array(*[F.lit(q) for q in points])),
     }[name]()
 
 
@@ -44,12 +47,12 @@ def aggregate(points: DataFrame, rule: Rule) -> DataFrame:
     """(name, labels, ts_ns, value, ...): gauges without resource, one for each function, window and label group.
 
     Groups ignore metric name and resource. One shuffle, with partial sums before it; exact quantiles
-    are the only function whose state grows with a group. Several functions add their names to the
+    are the only function whose state grows with a group (option approximate bounds it). Several functions add their names to the
     output's; quantiles always add theirs. ts_ns is the window's end.
     """
     width = rule.interval_ns
     g = points.withColumn("_w", window_start(F.col("ts_ns"), width)).withColumn("_g", L.canonical(group_labels(rule, F.col("labels"))))
-    made = [value_of(f, width, q).alias(f"_f{i}") for i, (f, q) in enumerate(rule.functions)]
+    made = [value_of(f, width, q, bool(rule.options.get("approximate"))).alias(f"_f{i}") for i, (f, q) in enumerate(rule.functions)]
     got = g.groupBy("_w", "_g").agg(F.first(group_labels(rule, F.col("labels"))).alias("labels"), *made)
     base, several = rule.output or rule.input, len(rule.functions) > 1
     parts = []

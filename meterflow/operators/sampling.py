@@ -44,7 +44,14 @@ def by_series(points: DataFrame, rate: float) -> DataFrame:
     return points.where(sampled(series_key(), rate))
 
 
-def reservoir(points: DataFrame, group: list[str], cap: int = 10_000, seed: int = 1) -> DataFrame:
-    """At most cap datapoints of each group, all while there are no more: a bounded base for quantiles."""
-    w = Window.partitionBy(*group).orderBy(F.xxhash64(F.lit(seed), "dp_id"))
-    return points.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= cap).drop("_k")
+def reservoir(points: DataFrame, group: list[str], cap: int = 10_000, seed: int = 1, spread: int = 64) -> DataFrame:
+    """At most cap datapoints of each group, all while there are no more: a bounded base for quantiles.
+
+    A group is first cut down to cap within each of spread parts, so a large one isn't sorted in one task.
+    """
+    draw = F.xxhash64(F.lit(seed), "dp_id")
+    part = F.pmod(F.xxhash64(F.lit(seed + 1), "dp_id"), F.lit(spread))
+    first = Window.partitionBy(*group, "_part").orderBy("_draw")
+    rows = points.withColumn("_draw", draw).withColumn("_part", part).withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= cap)
+    last = Window.partitionBy(*group).orderBy("_draw")
+    return rows.withColumn("_k", F.row_number().over(last)).where(F.col("_k") <= cap).drop("_k", "_part", "_draw")

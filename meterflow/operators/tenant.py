@@ -42,9 +42,13 @@ def quota_table(df: DataFrame, quotas: DataFrame, default: int) -> DataFrame:
     return df.join(F.broadcast(quotas), "tenant", "left").withColumn("max_datapoints", F.coalesce("max_datapoints", F.lit(default)))
 
 
-def batches(points: DataFrame, width_ns: int) -> DataFrame:
-    """(w, tenant, batch_id, ts_ns, n, series): the tenant's part of each batch; a batch belongs to the window it starts in."""
-    got = points.groupBy("tenant", "batch_id").agg(F.min("ts_ns").alias("ts_ns"), F.count(F.lit(1)).alias("n"), F.collect_set(series()).alias("series"))
+def batches(points: DataFrame, width_ns: int, with_series: bool = False) -> DataFrame:
+    """(w, tenant, batch_id, ts_ns, n, series): the tenant's part of each batch; a batch belongs to the window it starts in.
+
+    Series are gathered only where a limit of cardinality needs them; a batch bounds them.
+    """
+    own = F.collect_set(series()) if with_series else F.first(F.array().cast("array<string>"))
+    got = points.groupBy("tenant", "batch_id").agg(F.min("ts_ns").alias("ts_ns"), F.count(F.lit(1)).alias("n"), own.alias("series"))
     return got.withColumn("w", window_start(F.col("ts_ns"), width_ns))
 
 

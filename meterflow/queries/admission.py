@@ -94,7 +94,7 @@ Q("ten_bucket", DP + "SELECT service AS tenant, COUNT(DISTINCT rm_id) AS resourc
 Q("quota_lookup", DP + "SELECT service AS tenant, CASE service WHEN 'svc-1' THEN 10 WHEN 'svc-2' THEN 20 ELSE 1000 END::BIGINT AS max_datapoints, COUNT(*) AS n FROM dp GROUP BY 1, 2")(
     lambda s, d: T.quota_table(_tenants(s, d), s.createDataFrame([("svc-1", 10), ("svc-2", 20)], "tenant string, max_datapoints long"), 1000).groupBy("tenant", "max_datapoints").agg(F.count(F.lit(1)).alias("n"))
 )
-Q("quota_global")(lambda s, d: T.quota(T.batches(_tenants(s, d), DAY), 250, 200, "adaptive", None, {"svc-0", "svc-4"}))
+Q("quota_global")(lambda s, d: T.quota(T.batches(_tenants(s, d), DAY, True), 250, 200, "adaptive", None, {"svc-0", "svc-4"}))
 Q("quota_tenant")(lambda s, d: T.quota(T.batches(_tenants(s, d), DAY), 40, 0, "drop", ["tenant"]))
 Q("quota_prefix", DP + f", rm AS (SELECT service AS tenant, rm_id, MIN(ts_ns) AS t, COUNT(*) AS n FROM dp GROUP BY 1, 2), r AS (SELECT tenant, t - t % {DAY} AS w, rm_id, n, SUM(n) OVER (PARTITION BY tenant, t // {DAY} ORDER BY t, rm_id ROWS UNBOUNDED PRECEDING) AS c FROM rm) SELECT tenant, w, rm_id, n FROM r WHERE c <= 30")(lambda s, d: T.quota_prefix(_tenants(s, d), 30, DAY))
 Q("quota_newseries", DP + ", s AS (SELECT service AS tenant, batch_id, name || '{' || u || '|' || k AS s FROM dp) SELECT tenant, COUNT(DISTINCT s) AS new_series FROM s WHERE batch_id = 40 AND NOT EXISTS (SELECT 1 FROM s AS o WHERE o.batch_id < 40 AND o.tenant = s.tenant AND o.s = s.s) GROUP BY 1")(lambda s, d: T.new_series(_tenants(s, d), 40))

@@ -54,3 +54,8 @@ def encode(points: DataFrame, by: str = "batch_id") -> DataFrame:
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """Datapoints of files with one request a line."""
     return decode(spark.read.text(path).withColumnRenamed("value", "body"))
+
+
+def stream_json(spark: SparkSession, path: str, files_a_batch: int = 64) -> DataFrame:
+    """The same as a stream: requests land as files, a bounded number of them enters each micro-batch."""
+    return decode(spark.readStream.option("maxFilesPerTrigger", files_a_batch).text(path).withColumnRenamed("value", "body"))

@@ -217,3 +217,16 @@ def test_admission_equals_a_fold(spark, small):
         used[r._w] = used.get(r._w, 0) + ok
         want[r.dp_id] = ok
     assert got == want
+
+
+def test_reservoir_and_approximate_quantiles(spark, small):
+    from meterflow.operators.aggregate import aggregate
+    from meterflow.operators.sampling import reservoir
+
+    p = event_points(spark, small)
+    n = {r.name: r["count"] for r in p.groupBy("name").count().collect()}
+    got = {r.name: r["count"] for r in reservoir(p, ["name"], 50).groupBy("name").count().collect()}
+    assert got == {k: min(50, v) for k, v in n.items()}
+    spec = {"name": "r", "action": "aggregate", "input": "click", "interval": "30d", "functions": ["quantiles(0.5)"], "drop_labels": ["user", "k"]}
+    exact, near = (aggregate(p, R.rule(spec | {"options": {"approximate": a}})).first().value for a in (False, True))
+    assert abs(exact - near) <= 0.1 * exact

@@ -34,3 +34,15 @@ def test_swinging_door_between_batches(spark, small, tmp_path):
     got = {tuple(r) for r in _run(jobs.swinging_door(plain(s), 25.0), "door", tmp_path).collect()}
     want = {tuple(r) for r in D.sdt(plain(p), 25.0).collect()}
     assert got <= want and len(want - got) <= p.select(D.series_key()).distinct().count()
+
+
+def test_landed_requests(spark, small, tmp_path):
+    from meterflow.sources import otlp
+
+    p = event_points(spark, small).where("dp_id < 300")
+    otlp.encode(p).select("body").coalesce(2).write.text(str(tmp_path / "in"))
+    got = _run(otlp.stream_json(spark, str(tmp_path / "in"), 1).select("name", "ts_ns", "value"), "landed", tmp_path)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, p.select("name", "ts_ns", "value").collect()))
+    assert otlp.read_json(spark, str(tmp_path / "in")).count() == 300
+    bad = spark.createDataFrame([("{",), ("[]",), ("",), (None,), ("{}",)], "body string")
+    assert otlp.decode(bad).count() == 0
