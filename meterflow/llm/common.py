@@ -39,7 +39,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends here, and executors may be lost."""
     path = os.path.join(shared_folder(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the table behind a DataFrame that cut() returned, once nothing to come reads it."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(df._cut_path)
+    path.getFileSystem(conf).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

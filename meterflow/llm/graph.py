@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterflow.llm.common import cut
+from meterflow.llm.common import cut, drop
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -38,7 +38,8 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), name)
     mark = None
     for _ in range(most_rounds):
-        now = cut(_stars(_stars(now, True), False), name)
+        before, now = now, cut(_stars(_stars(now, True), False), name)
+        drop(before)
         found = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b") % 1000003)).first()
         if tuple(found) == mark:
             break

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterflow.llm.common import buffers, cut, dealt, doc_key, mix, pieces, read, release, same_key
+from meterflow.llm.common import buffers, cut, dealt, doc_key, drop, mix, pieces, read, release, same_key
 
 GRAM = 32  # bytes of an anchor
 _POS = np.uint64((1 << 24) - 1)
@@ -352,14 +352,18 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False,
     anchors_ = classes.groupBy("h").agg(F.sum("times").alias("_t"), F.count(F.lit(1)).alias("classes")).where("_t > 1").drop("_t")
     wants = classes.join(anchors_, "h").select("r._d", "r._h", F.struct("h", "c", "times", "classes", "r.s", "r.n", "r.off").alias("w"))
     wants = cut(wants.groupBy("_d", "_h").agg(F.collect_list("w").alias("w")), "suffix-wants")
+    drop(classes)
     release(spark)
     texts = wants.join(keyed, same_key(wants, keyed))
     bytes_ = texts.select("text", "w").mapInArrow(_contexts(length, GROUP), "g long, h long, c long, base int, several boolean, bytes binary")
     marks = bytes_.groupBy(F.pmod("g", F.lit(buckets)).alias("_b")).applyInArrow(_sorted_groups(length), "h long, c long, base int, marks binary")
     marks = cut(marks.where(F.octet_length("marks") > 0), "suffix-marks")
+    drop(wants)
     release(spark)
     spans = members.select("_d", "_h", "h", "c", "s").join(marks, ["h", "c"]).groupBy("_d", "_h").agg(F.collect_list(F.struct("s", "base", "marks")).alias("found"))
     spans = cut(spans, "suffix-spans")
+    drop(members)
+    drop(marks)
     release(spark)
     whole = docs.select(*doc_key(F.col("doc_id"), F.col("text")), F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
     joined = whole.join(spans, same_key(whole, spans), "left").select("doc_id", "text", "found", *keep)

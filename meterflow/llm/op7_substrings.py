@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterflow.llm.common import buffers, cut, dealt, doc_key, hash_words, mix, pieces, read, release, rolling, same_key, split_words
+from meterflow.llm.common import buffers, cut, dealt, doc_key, drop, hash_words, mix, pieces, read, release, rolling, same_key, split_words
 
 _PIECE = 2 << 20  # bytes of text at once
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
@@ -23,73 +23,85 @@ def _words(data: np.ndarray, offsets: np.ndarray):
     return hash_words(data, starts, ends), doc, np.arange(len(starts)) - first[doc], n
 
 
+def _ids(batch) -> np.ndarray:
+    """Keys of a batch's texts, as rows of two."""
+    d = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+    return np.stack([d, batch.column(1).to_numpy(zero_copy_only=False)], axis=1)
+
+
+def _piece(ids: np.ndarray) -> int:
+    """A name for some texts that any rerun gives again."""
+    import xxhash
+
+    h = xxhash.xxh3_64_intdigest(ids.tobytes())
+    return h - (1 << 64) * (h >> 63)
+
+
+def _batch(rows: list[tuple], names: list[str]):
+    import pyarrow as pa
+
+    kinds = {"bucket": pa.int32(), "piece": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds.get(n, pa.binary())) for c, n in enumerate(names)], names=names)
+
+
+_SENT = ["bucket", "piece", "probes", "keys", "place", "hit", "docs", "first"]
+
+
 def _index_and_probes(width: int, buckets: int):
     """One row a bucket and piece: keys of every rolling block, and place of those on fixed block borders.
 
     Within a piece each key is sent once. A bordered block whose key occurs again in its own piece is a
-    hit already; its place goes along as such.
+    hit already; its place goes along as such. Places are word numbers in the piece; one more row holds
+    its texts' keys and first words.
     """
     block = width // 2
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             data_, offsets_ = buffers(batch.column(2))
-            ids = np.stack([batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)], axis=1)
+            ids = _ids(batch)
             for i, j in pieces(offsets_, _PIECE):
                 h, doc, at, n = _words(data_[offsets_[i] : offsets_[j]], offsets_[i : j + 1] - offsets_[i])
                 k = mix(rolling(h, block))
                 doc, at = doc[: len(k)], at[: len(k)]
-                ok = (at + block <= n[doc]) & (n[doc] >= width)
-                k, doc, at = k[ok], doc[ok], at[ok]
-                if not len(k):
+                place = np.flatnonzero((at + block <= n[doc]) & (n[doc] >= width))
+                if not len(place):
                     continue
+                k = k[place]
                 bucket = (k >> np.uint64(32)) % np.uint64(buckets)
                 full = (bucket << np.uint64(32)) | (k & np.uint64(0xFFFFFFFF))
                 order = np.argsort(full, kind="stable")
-                full, doc, at = full[order], doc[order], at[order]
+                full, place = full[order], place[order]
                 new = np.concatenate([[True], full[1:] != full[:-1]])
-                group = np.cumsum(new) - 1
-                times = np.bincount(group)[group]
-                border = at % block == 0
-                place = np.flatnonzero(border)
-                probe = np.flatnonzero(new & ~(border & (times == 1)))
-                pb, bb = (full[probe] >> np.uint64(32)).astype(np.int64), (full[place] >> np.uint64(32)).astype(np.int64)
+                times = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
+                border = at[place] % block == 0
+                own, probe = np.flatnonzero(border), np.flatnonzero(new & ~(border & (times == 1)))
+                pb, bb = (full[probe] >> np.uint64(32)).astype(np.int64), (full[own] >> np.uint64(32)).astype(np.int64)
                 used = np.union1d(pb, bb)
                 p_edge, b_edge = np.searchsorted(pb, np.append(used, buckets)), np.searchsorted(bb, np.append(used, buckets))
-                low = full.astype(np.uint32)
-                rows = []
+                low, place = full.astype(np.uint32), place.astype(np.uint32)
+                name = _piece(ids[i:j])
+                rows = [(name % buckets, name, b"", b"", b"", b"", ids[i:j].tobytes(), np.concatenate([[0], np.cumsum(n)]).astype(np.int64).tobytes())]
                 for u in range(len(used)):
-                    pr, pl = probe[p_edge[u] : p_edge[u + 1]], place[b_edge[u] : b_edge[u + 1]]
-                    docs, inv = np.unique(doc[pl], return_inverse=True)
-                    rows.append((int(used[u]), low[pr].tobytes(), low[pl].tobytes(), inv.astype(np.uint32).tobytes(), (at[pl] // block).astype(np.uint32).tobytes(), (times[pl] > 1).tobytes(), ids[docs + i].tobytes()))
-                names = ["bucket", "probes", "keys", "doc", "block", "hit", "docs"]
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int32() if c == 0 else pa.binary()) for c in range(7)], names=names)
+                    pr, ow = probe[p_edge[u] : p_edge[u + 1]], own[b_edge[u] : b_edge[u + 1]]
+                    rows.append((int(used[u]), name, low[pr].tobytes(), low[ow].tobytes(), place[ow].tobytes(), (times[ow] > 1).tobytes(), None, None))
+                yield _batch(rows, _SENT)
 
     return run
 
 
-def _by_doc(ids: np.ndarray, doc: np.ndarray, value: np.ndarray):
-    """(d, h, packed values) of each document that has some."""
-    order = np.argsort(doc, kind="stable")
-    doc, value = doc[order], value[order]
-    cuts = np.concatenate([[0], np.flatnonzero(doc[1:] != doc[:-1]) + 1, [len(doc)]])
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        if b > a:
-            d, h = ids[doc[a]].tolist()
-            yield d, h, value[a:b].astype(np.uint32).tobytes()
+_REPLY = "piece long, place binary, docs binary, first binary"
 
 
-def _packed(rows):
+def _replies(rows: list[tuple]):
     import pyarrow as pa
 
-    d, h, v = zip(*rows) if rows else ((), (), ())
-    return pa.table({"_d": pa.array(d, pa.int64()), "_h": pa.array(h, pa.int64()), "v": pa.array(v, pa.binary())})
+    names = ["piece", "place", "docs", "first"]
+    return pa.table({n: pa.array([r[c] for r in rows], pa.int64() if c == 0 else pa.binary()) for c, n in enumerate(names)})
 
 
 def _hits(key, table):
-    """Bordered blocks whose key any other rolling block has."""
+    """Bordered blocks whose key any other rolling block has; one reply a piece."""
     got = table.to_pylist()
     low = [np.frombuffer(r["keys"], np.uint32) for r in got]
     every = np.sort(np.concatenate([np.frombuffer(r["probes"], np.uint32) for r in got] + low))
@@ -97,87 +109,115 @@ def _hits(key, table):
     for r, k in zip(got, low):
         more = np.searchsorted(every, k, "right") - np.searchsorted(every, k, "left") > 1
         more |= np.frombuffer(r["hit"], bool)
-        rows += _by_doc(np.frombuffer(r["docs"], np.int64).reshape(-1, 2), np.frombuffer(r["doc"], np.uint32)[more], np.frombuffer(r["block"], np.uint32)[more])
-    return _packed(rows)
+        if r["docs"] is not None or more.any():
+            rows.append((r["piece"], np.frombuffer(r["place"], np.uint32)[more].tobytes(), r["docs"], r["first"]))
+    return _replies(rows)
+
+
+def _by_doc(key, table):
+    """Replies of a piece, as the word numbers within each of its texts."""
+    import pyarrow as pa
+
+    got = table.to_pylist()
+    about = next(r for r in got if r["docs"] is not None)
+    ids, first = np.frombuffer(about["docs"], np.int64).reshape(-1, 2), np.frombuffer(about["first"], np.int64)
+    place = np.unique(np.frombuffer(b"".join(r["place"] for r in got), np.uint32)).astype(np.int64)
+    doc = np.searchsorted(first, place, "right") - 1
+    at = (place - first[doc]).astype(np.uint32)
+    cuts = np.searchsorted(doc, np.arange(len(ids) + 1))
+    some = np.flatnonzero(np.diff(cuts))
+    return pa.table({"_d": pa.array(ids[some, 0]), "_h": pa.array(ids[some, 1]), "v": pa.array([at[cuts[x] : cuts[x + 1]].tobytes() for x in some.tolist()], pa.binary())})
+
+
+def _gathered(replies: DataFrame) -> DataFrame:
+    """(_d, _h, v): all places of each text; rows that repeat with one key share them."""
+    return replies.groupBy("piece").applyInArrow(_by_doc, "_d long, _h long, v binary").groupBy("_d", "_h").agg(F.collect_list("v").alias("v"))
 
 
 def _unpack(found) -> np.ndarray:
     return np.frombuffer(b"".join(found or []), np.uint32).astype(np.int64)
 
 
+_FOUND = ["bucket", "piece", "sent", "keys", "place", "doc", "ids", "docs", "first"]
+
+
 def _windows(width: int, buckets: int):
     """Extension: each window over a hit block, under a hash of all its words; the first of a piece's equals goes out."""
     block = width // 2
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             data_, offsets_ = buffers(batch.column(2))
-            ids = np.stack([batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)], axis=1)
+            ids = _ids(batch)
             found = batch.column(3).to_pylist()
             for i, j in pieces(offsets_, _PIECE):
                 h, doc, at, n = _words(data_[offsets_[i] : offsets_[j]], offsets_[i : j + 1] - offsets_[i])
                 raw = rolling(h, width)
                 if not len(raw):
                     continue
-                blocks = n // block + 1
-                base = np.concatenate([[0], np.cumsum(blocks)])
-                hit = np.zeros(base[-1], bool)
+                first = np.concatenate([[0], np.cumsum(n)])
+                hit = np.zeros(first[-1] + width, bool)
                 for x in range(j - i):
-                    v = _unpack(found[i + x])
-                    hit[base[x] + v[v < blocks[x]]] = True
+                    hit[first[x] + _unpack(found[i + x])] = True
                 doc, at = doc[: len(raw)], at[: len(raw)]
-                ok = at + width <= n[doc]
-                ok[ok] = hit[base[doc[ok]] + -(-at[ok] // block)]
-                raw, doc, at = raw[ok], doc[ok], at[ok]
-                if not len(raw):
+                place = np.flatnonzero(at + width <= n[doc])
+                place = place[hit[place + -at[place] % block]]  # the first whole block of the window
+                if not len(place):
                     continue
+                raw, at, doc = raw[place], at[place], doc[place]
                 k, other = mix(raw), mix(raw * _OTHER + np.uint64(1))
                 did = ids[i + doc, 0]
                 order = np.lexsort((at, did, k))
-                k, other, doc, at, did = k[order], other[order], doc[order], at[order], did[order]
+                k, other, place, at, did, doc = k[order], other[order], place[order], at[order], did[order], doc[order]
                 new = np.concatenate([[True], k[1:] != k[:-1]])
                 head = np.flatnonzero(new)[np.cumsum(new) - 1]
                 later = (did != did[head]) | (at != at[head])  # equal places of rows that share an id are no earlier ones
                 bucket = (other % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                k, doc, at, later, bucket = k[order], doc[order], at[order], later[order], bucket[order]
+                k, place, doc, later, bucket = k[order], place[order].astype(np.uint32), doc[order], later[order], bucket[order]
                 cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
-                rows = []
+                name = _piece(ids[i:j])
+                rows = [(name % buckets, name, b"", b"", b"", b"", b"", ids[i:j].tobytes(), first.astype(np.int64).tobytes())]
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                    docs, inv = np.unique(doc[a:b], return_inverse=True)
-                    gone = later[a:b]
-                    rows.append((int(bucket[a]), np.where(gone, 0, 1).astype(bool).tobytes(), k[a:b][~gone].tobytes(), inv.astype(np.uint32).tobytes(), at[a:b].astype(np.uint32).tobytes(), ids[docs + i].tobytes()))
-                names = ["bucket", "sent", "keys", "doc", "at", "docs"]
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int32() if c == 0 else pa.binary()) for c in range(6)], names=names)
+                    sent = ~later[a:b]
+                    docs, inv = np.unique(doc[a:b][sent], return_inverse=True)
+                    small = np.uint16 if len(docs) <= 1 << 16 else np.uint32
+                    about = np.stack([ids[docs + i, 0], first[docs]], axis=1)  # id, and the place its words are counted from
+                    rows.append((int(bucket[a]), name, sent.tobytes(), k[a:b][sent].tobytes(), place[a:b].tobytes(), inv.astype(small).tobytes(), about.tobytes(), None, None))
+                yield _batch(rows, _FOUND)
 
     return run
 
 
 def _later(key, table):
-    """Windows whose words also start earlier: in another document of smaller id, or earlier in the same."""
+    """Windows whose words also start earlier: in another document of smaller id, or earlier in the same. One reply a piece."""
     got = table.to_pylist()
     sent = [np.frombuffer(r["sent"], bool) for r in got]
-    docs = [np.frombuffer(r["docs"], np.int64).reshape(-1, 2) for r in got]
-    doc = [np.frombuffer(r["doc"], np.uint32) for r in got]
-    at = [np.frombuffer(r["at"], np.uint32) for r in got]
+    place = [np.frombuffer(r["place"], np.uint32) for r in got]
     k = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in got])
-    d = np.concatenate([x[y[s], 0] for x, y, s in zip(docs, doc, sent)])
-    p = np.concatenate([x[s] for x, s in zip(at, sent)])
+    ids, at = [], []
+    for r, s, p in zip(got, sent, place):
+        about = np.frombuffer(r["ids"], np.int64).reshape(-1, 2)
+        doc = np.frombuffer(r["doc"], np.uint16 if len(about) <= 1 << 16 else np.uint32)
+        ids.append(about[doc, 0])
+        at.append(p[s].astype(np.int64) - about[doc, 1])
+    d, p = np.concatenate(ids), np.concatenate(at)
     order = np.lexsort((p, d, k))
     k, d, p = k[order], d[order], p[order]
-    head = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
-    head = np.flatnonzero(head)[np.cumsum(head) - 1] if len(k) else head
     gone = np.zeros(len(k), bool)
-    gone[order] = (d != d[head]) | (p != p[head])
+    if len(k):
+        new = np.concatenate([[True], k[1:] != k[:-1]])
+        head = np.flatnonzero(new)[np.cumsum(new) - 1]
+        gone[order] = (d != d[head]) | (p != p[head])
     rows, start = [], 0
-    for s, x, y, z in zip(sent, docs, doc, at):
+    for r, s, x in zip(got, sent, place):
+        n = int(s.sum())
         out = ~s
-        out[s] = gone[start : start + int(s.sum())]
-        start += int(s.sum())
-        rows += _by_doc(x, y[out], z[out])
-    return _packed(rows)
+        out[s] = gone[start : start + n]
+        start += n
+        if r["docs"] is not None or out.any():
+            rows.append((r["piece"], x[out].tobytes(), r["docs"], r["first"]))
+    return _replies(rows)
 
 
 def _kept(width: int, with_text: bool):
@@ -228,17 +268,17 @@ def remove_repeated_windows(docs: DataFrame, width: int = 20, with_text: bool =
     spark = docs.sparkSession
     keyed = docs.select(*doc_key(F.col("doc_id"), F.col("text")), "text")
     buckets = dealt(spark, docs)
-    key = F.col("bucket")
-    sent = keyed.mapInArrow(_index_and_probes(width, buckets), "bucket int, probes binary, keys binary, doc binary, block binary, hit binary, docs binary")
-    hits = sent.groupBy(key).applyInArrow(_hits, "_d long, _h long, v binary")
-    hits = cut(hits.groupBy("_d", "_h").agg(F.collect_list("v").alias("v")), "windows-hits")
+    kinds = {"bucket": "int", "piece": "long"}
+    schema = lambda names: ", ".join(f"{n} {kinds.get(n, 'binary')}" for n in names)
+    sent = keyed.mapInArrow(_index_and_probes(width, buckets), schema(_SENT))
+    hits = cut(_gathered(sent.groupBy("bucket").applyInArrow(_hits, _REPLY)), "windows-hits")
+    del sent
     release(spark)
     null_safe = F.coalesce(keyed["_d"], F.lit(-(1 << 63)))
-    over = hits.join(keyed.withColumn("_d", null_safe), ["_d", "_h"]).select("_d", "_h", "text", "v")
-    del sent
-    seen = over.mapInArrow(_windows(width, buckets), "bucket int, sent binary, keys binary, doc binary, at binary, docs binary")
-    later = seen.groupBy(key).applyInArrow(_later, "_d long, _h long, v binary")
-    later = cut(later.groupBy("_d", "_h").agg(F.collect_list("v").alias("v")), "windows-later")
+    over = hits.join(keyed.withColumn("_d", null_safe), ["_d", "_h"]).select("_d", "_h", "text", "v").sortWithinPartitions("_d", "_h")
+    seen = over.mapInArrow(_windows(width, buckets), schema(_FOUND))
+    later = cut(_gathered(seen.groupBy("bucket").applyInArrow(_later, _REPLY)), "windows-later")
+    drop(hits)
     del over, seen
     release(spark)
     whole = docs.select(*doc_key(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.col("text")), F.col("doc_id").cast("long").alias("doc_id"), "text")

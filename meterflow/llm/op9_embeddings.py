@@ -216,45 +216,72 @@ def _build(least: float, recall: float, audits: int):
     return run
 
 
+def _linked(graph: Hnsw, own: np.ndarray, asked: np.ndarray, width: int, least: float, out: np.ndarray) -> None:
+    """Set out[point, query] for each pair of cosine >= least that the graph finds, checked in double precision."""
+    for s in range(0, len(asked), 1024):
+        q, p = graph.within(np.ascontiguousarray(asked[s : s + 1024], np.float32), least - 1e-4, width)
+        for t in range(0, len(q), 65536):
+            x, y = q[t : t + 65536] + s, p[t : t + 65536]
+            good = np.einsum("ij,ij->i", asked[x], own[y]) >= least
+            out[y[good], x[good]] = True
+
+
+def _forest(links: np.ndarray, same: bool) -> list[tuple[int, int]]:
+    """Pairs (row, column) of links that join all that links joins, without a cycle. same: columns are the rows."""
+    n, m = links.shape
+    shift = 0 if same else n
+    root = np.arange(n + (0 if same else m))
+    out = []
+    for r in np.flatnonzero(links.any(axis=1)).tolist():
+        c = np.flatnonzero(links[r])
+        at = c + shift
+        while (root[at] != at).any():  # to the roots, all at once
+            at = root[at]
+        at, first = np.unique(at, return_index=True)
+        own = r
+        while root[own] != own:
+            own = root[own]
+        for x, i in zip(at.tolist(), first.tolist()):
+            if x != own:
+                root[x] = own
+                out.append((r, int(c[i])))
+    return out
+
+
 def _search(least: float):
-    """Links between the vectors of one shard (asked) and those of another (or the same), each checked in doubles."""
+    """Links between two shards of a label (or within one), each asked by the other: link counts and a spanning forest.
+
+    Links stand as one bit matrix of the two shards, which bounds a task; a group of many near vectors
+    leaves a count for each and a tree, not its pairs.
+    """
 
     def run(key, table):
         import pyarrow as pa
 
-        out = []
-        for a, b in zip(table.column("a"), table.column("b")):
+        rows: list[tuple] = []
+        for a, b, i, j in zip(table.column("a"), table.column("b"), table.column("i").to_pylist(), table.column("j").to_pylist()):
             graph, units, rep, n, width = pickle.loads(a.as_py())
-            _, asked, arep, an, _ = pickle.loads(b.as_py())
-            q, p = graph.within(np.ascontiguousarray(asked, np.float32), least - 1e-4, width)
-            i, j = arep[q], rep[p]
-            ok = i != j
-            q, p, i, j = q[ok], p[ok], i[ok], j[ok]
-            cosine = np.concatenate([np.einsum("ij,ij->i", asked[q[s : s + 65536]], units[p[s : s + 65536]]) for s in range(0, len(q), 65536)] or [np.zeros(0)])
-            ok = cosine >= least
-            q, p, i, j = q[ok], p[ok], i[ok], j[ok]
-            swap = i > j
-            lo, hi = np.where(swap, j, i), np.where(swap, i, j)
-            nl, nh = np.where(swap, n[p], an[q]), np.where(swap, an[q], n[p])
-            if len(lo):
-                _, first = np.unique(np.stack([lo, hi]), axis=1, return_index=True)
-                lo, hi, nl, nh = lo[first], hi[first], nl[first], nh[first]
-            parent: dict[int, int] = {}
-
-            def root(x):
-                while parent.setdefault(x, x) != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
-            tree = np.zeros(len(lo), bool)
-            for k, (x, y) in enumerate(zip(lo.tolist(), hi.tolist())):
-                x, y = root(x), root(y)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-                    tree[k] = True
-            out.append(pa.table({"a": pa.array(lo, pa.int64()), "b": pa.array(hi, pa.int64()), "na": pa.array(nl, pa.int64()), "nb": pa.array(nh, pa.int64()), "tree": pa.array(tree)}))
-        return pa.concat_tables(out)
+            if i == j:
+                links = np.zeros((len(rep), len(rep)), bool)
+                _linked(graph, units, units, width, least, links)
+                links |= links.T
+                np.fill_diagonal(links, False)
+                other, on = rep, n
+            else:
+                graph2, units2, other, on, width2 = pickle.loads(b.as_py())
+                links = np.zeros((len(rep), len(other)), bool)
+                back = np.zeros((len(other), len(rep)), bool)
+                _linked(graph, units, units2, width, least, links)
+                _linked(graph2, units2, units, width2, least, back)
+                links |= back.T
+            counts = links @ on
+            rows += [(int(rep[x]), None, int(counts[x])) for x in np.flatnonzero(counts)]
+            if i != j:
+                counts = links.T @ n
+                rows += [(int(other[x]), None, int(counts[x])) for x in np.flatnonzero(counts)]
+            rows += [(int(rep[x]), int(other[y]), 0) for x, y in _forest(links, i == j)]
+        cols = list(zip(*rows)) or [(), (), ()]
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("a", "b", "k"), cols)})
 
     return run
 
@@ -265,8 +292,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, recall: float = 0.98,
     Copies (equal components) are one point that carries their number. The points of a label are dealt
     to shards by hash, each with a graph of its own; every point asks every shard of its label. Beams
     widen until an audit of the shard against brute force finds the given share of links, and while
-    they are full of links; pairs found are checked in double precision. Of each task's links a
-    spanning forest goes to the components.
+    they are full of links; pairs found are checked in double precision. A task leaves the number of
+    links of each point and a spanning forest of them, never the pairs of a group.
 
     Null label; null or zero vector; null or non-finite components: no links, a component of its own,
     kept. Vectors of different length don't meet. Repeated rows are copies. Other columns are not read.
@@ -285,10 +312,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, recall: float = 0.98,
     graphs = cut(graphs, "vectors-graphs")
     a = graphs.select("label", "dim", F.col("shard").alias("i"), F.col("blob").alias("a"))
     b = graphs.select("label", "dim", F.col("shard").alias("j"), F.col("blob").alias("b"))
-    links = a.join(b, ["label", "dim"]).groupBy("label", "dim", "i", "j").applyInArrow(_search(least), "a long, b long, na long, nb long, tree boolean")
-    links = cut(links.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("tree").alias("tree")), "vectors-links")
-    found = components(links.where("tree").select("a", "b"), "vectors-edges")
-    degree = links.select(F.col("a").alias("p"), F.col("nb").alias("k")).unionByName(links.select(F.col("b").alias("p"), F.col("na").alias("k"))).groupBy("p").agg(F.sum("k").alias("k"))
+    both = a.join(b, ["label", "dim"]).where("i <= j").groupBy("label", "dim", "i", "j")
+    links = cut(both.applyInArrow(_search(least), "a long, b long, k long"), "vectors-links")
+    found = components(links.where("b IS NOT NULL").select("a", "b"), "vectors-edges")
+    degree = links.where("b IS NULL").groupBy(F.col("a").alias("p")).agg(F.sum("k").alias("k"))
     known = points.join(degree, points["rep"] == degree["p"], "left").join(found, points["rep"] == found["v"], "left")
     known = known.select(points["label"].alias("_l"), points["v"].alias("_v"), (F.coalesce("k", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = rows.join(known, F.col("_good") & (rows["label"] == known["_l"]) & (rows["v"] == known["_v"]), "left")
