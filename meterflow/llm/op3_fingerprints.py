@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import isqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meterflow.llm.common import cut, read
+from meterflow.llm.common import cut, read, release
 
 #: A paragraph is a line; a longer line is cut after the word that holds its 200th character.
 PARAGRAPH = r"[^\n]{1,200}\S*"
 #: Cells of each of a sketch's three tables, from the fingerprint's own to the largest retry.
-TABLES = (8, 32, 128, 512, 2048, 8192, 32768, 131072)
-ROUNDS = 40
-
-_CELL = "struct<i:int,n:int,k:bigint,c:bigint>"
+TABLES = (8, 64, 512, 4096, 32768, 262144)
+#: Peeling rounds over the three tables before a sketch counts as stuck.
+ROUNDS = 5
 
 
 def digests(text: Column) -> Column:
@@ -23,71 +23,80 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p)))
 
 
-def _cell(i, n, k, c) -> Column:
-    return F.struct(i.cast("int").alias("i"), n.cast("int").alias("n"), k.alias("k"), c.alias("c"))
+def _cell_of(k: Column, t: int, size: Column) -> Column:
+    """The cell of digest k in table t; the tables of a sketch follow each other."""
+    return (F.pmod(F.shiftrightunsigned(k, 21 * t).bitwiseAND(F.lit(0x1FFFFF)), size) + size * t).cast("int")
 
 
-def _entries(found: Column, size: int, key=lambda d: d, count=lambda d: F.lit(1)) -> Column:
-    """The three cells of each digest."""
+def _entries(found: Column, size: Column, count: int) -> Column:
+    """The three cells of each digest, with the count it adds to them."""
 
-    def of(d):
-        k = key(d)
-        at = [F.pmod(F.shiftrightunsigned(k, 21 * t).bitwiseAND(F.lit(0x1FFFFF)), F.lit(size)) + t * size for t in range(3)]
-        return F.array(*[_cell(a, count(d), k, F.xxhash64(k)) for a in at])
+    def of(k):
+        c = F.xxhash64(k)
+        return F.array(*[F.struct(_cell_of(k, t, size).alias("i"), F.lit(count).alias("n"), k.alias("k"), c.alias("c")) for t in range(3)])
 
     return F.flatten(F.transform(found, of))
 
 
-def _cells(entries: Column) -> Column:
-    """Sum of entries by cell, in order, without empty cells: sorted once, then merged in one pass."""
-    none = _cell(F.lit(-1), F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
-    zero = F.struct(F.array().cast(f"array<{_CELL}>").alias("out"), none.alias("last"))
-
-    def merge(z, e):
-        last = z["last"]
-        same = _cell(e["i"], last["n"] + e["n"], last["k"].bitwiseXOR(e["k"]), last["c"].bitwiseXOR(e["c"]))
-        return F.when(last["i"] == e["i"], F.struct(z["out"].alias("out"), same.alias("last"))).otherwise(F.struct(F.concat(z["out"], F.array(last)).alias("out"), e.alias("last")))
+def sketches(rows: DataFrame, keys: list[str], entries: Column) -> DataFrame:
+    """(keys, s, i, n, k, c): the cells of each key's sketch that aren't empty; sums of signed entries subtract sketches.
 
-    merged = F.aggregate(F.array_sort(entries), zero, merge, lambda z: F.concat(z["out"], F.array(z["last"])))
-    return F.filter(merged, lambda x: (x["i"] >= 0) & ((x["n"] != 0) | (x["k"] != 0) | (x["c"] != 0)))
+    rows lie with their first key, and stay: the sums need no exchange.
+    """
+    cells = rows.select(*keys, "s", F.explode(entries).alias("e")).select(*keys, "s", "e.*")
+    return _summed(cells, keys)
 
 
-def sketch(found: Column, size: int = TABLES[0]) -> Column:
-    return _cells(_entries(found, size))
+def _summed(cells: DataFrame, keys: list[str]) -> DataFrame:
+    got = cells.groupBy(*keys, "s", "i").agg(F.sum("n").cast("int").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c"))
+    return got.where("n <> 0 OR k <> 0 OR c <> 0")
 
 
-def _peeled(a: Column, b: Column, size: int) -> Column:
-    """Number of digests that a and b don't share, from the difference of their sketches; null if peeling gets stuck.
+def peeled(cells: DataFrame, keys: list[str], rounds: int = ROUNDS) -> DataFrame:
+    """(keys, left, got): cells that peeling couldn't empty, and digests it recovered, of each difference with any.
 
-    A cell with one digest left gives it away; it then leaves its other two cells, and so on.
+    A cell that holds one digest gives it away, and the digest leaves its other two cells. Tables take
+    turns, so that no digest is given away twice at once. What was recovered is counted in a cell of
+    number -1. All of a key's cells stay in one task.
     """
-    both = F.concat(_entries(a, size), _entries(b, size, count=lambda d: F.lit(-1)))
-    start = F.struct(_cells(both).alias("cells"), F.lit(0).alias("got"))
-
-    def step(z, _):
-        pure = F.array_distinct(F.transform(F.filter(z["cells"], lambda x: (F.abs(x["n"]) == 1) & (F.xxhash64(x["k"]) == x["c"])), lambda x: F.struct(x["n"].alias("n"), x["k"].alias("k"))))
-        gone = _entries(pure, size, lambda d: d["k"], lambda d: -d["n"])
-        after = F.struct(_cells(F.concat(z["cells"], gone)).alias("cells"), (z["got"] + F.size(pure)).alias("got"))
-        return F.when(F.size(z["cells"]) == 0, z).otherwise(after)
+    for r in range(rounds * 3):
+        t = r % 3
+        pure = (F.col("i") >= 0) & (F.expr("i div s") == t) & (F.abs("n") == 1) & (F.xxhash64("k") == F.col("c"))
+        same = F.struct("i", "n", "k", "c")
+        gone = [F.struct(_cell_of(F.col("k"), u, F.col("s")).alias("i"), (-F.col("n")).alias("n"), F.col("k").alias("k"), F.col("c").alias("c")) for u in range(3) if u != t]
+        got = F.struct(F.lit(-1).alias("i"), F.lit(1).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
+        cells = _summed(cells.select(*keys, "s", F.explode(F.when(pure, F.array(got, *gone)).otherwise(F.array(same))).alias("e")).select(*keys, "s", "e.*"), keys)
+    return cells.groupBy(*keys).agg(F.sum(F.when(F.col("i") >= 0, 1).otherwise(0)).alias("left"), F.sum(F.when(F.col("i") < 0, F.col("n")).otherwise(0)).alias("got"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda z: F.when(F.size(z["cells"]) == 0, z["got"]))
 
+def differing(pairs: DataFrame, keys: list[str], tables: tuple[int, ...] = TABLES) -> DataFrame:
+    """(keys, differ): the number of digests that a and b of each row don't share.
 
-def likeness(a: Column, b: Column) -> Column:
-    """1 - differing / all digests of two documents; 1 if both have none.
-
-    The smallest sketch is tried first, and one four times larger each time peeling fails; a document
-    beyond the largest is compared digest by digest.
+    All rows are tried with the smallest sketches; those whose peeling gets stuck again with tables eight
+    times larger, and so on. Rows beyond the largest are compared digest by digest.
     """
-    exact = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
-    differ = F.coalesce(*[_peeled(a, b, s) for s in TABLES], exact)
-    total = F.size(a) + F.size(b)
-    return F.when(total == 0, F.lit(1.0)).otherwise(1.0 - differ / total)
-
-
-def shown(cells: Column) -> Column:
-    """A sketch as text: cell number, count, and both sums in hexadecimal of each cell that isn't empty."""
-    return F.array_join(F.transform(cells, lambda x: F.concat(x["i"].cast("string"), F.lit(":"), x["n"].cast("string"), F.lit(":"), F.hex(x["k"]), F.lit(":"), F.hex(x["c"]))), " ")
+    parts, open_ = [], pairs
+    for size in tables:
+        rows = open_.withColumn("s", F.lit(size)).repartition(keys[0])
+        cells = sketches(rows, keys, F.concat(_entries(F.col("a"), F.col("s"), 1), _entries(F.col("b"), F.col("s"), -1)))
+        out = peeled(cells, keys)
+        tried = cut(open_.select(*keys).join(out, keys, "left").select(*keys, F.coalesce("left", F.lit(0)).alias("left"), F.coalesce("got", F.lit(0)).alias("differ")), "sketch-peeled")
+        parts.append(tried.where("left = 0").select(*keys, "differ"))
+        stuck = tried.where("left > 0").select(*keys)
+        if stuck.isEmpty():
+            break
+        open_ = pairs.join(stuck, keys)
+    else:
+        exact = F.size(F.array_except("a", "b")) + F.size(F.array_except("b", "a"))
+        parts.append(open_.select(*keys, exact.cast("long").alias("differ")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def shown(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, shown): a sketch as text: cell number, count, and both sums in hexadecimal of each cell that isn't empty."""
+    one = F.concat_ws(":", F.col("i").cast("string"), F.col("n").cast("string"), F.hex("k"), F.hex("c"))
+    got = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", one.alias("text")))).alias("all"))
+    return got.select(*keys, F.array_join(F.transform("all", lambda x: x["text"]), " ").alias("shown"))
 
 
 def with_next(docs: DataFrame, order: str, ranges: int) -> DataFrame:
@@ -139,15 +148,32 @@ def fingerprint_versions(docs: DataFrame) -> DataFrame:
     part = F.floor(n / 4).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), n - part), F.col("next.text").substr(F.lit(1), part))
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "found", F.col("next.found").alias("next_found"))
-    rows = rows.withColumn("edited_found", digests(F.col("edited")))
-    return rows.select(
+    rows = rows.select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "found", digests(F.col("edited")).alias("edited_found"), "next_found"
+    )
+    rows = cut(rows, "sketch-rows")
+    release(spark)
+    two = F.array(F.struct(F.lit("e").alias("which"), F.col("found").alias("a"), F.col("edited_found").alias("b")), F.struct(F.lit("n").alias("which"), F.col("found").alias("a"), F.col("next_found").alias("b")))
+    pairs = rows.select("row", F.explode(two).alias("p")).select("row", "p.*")
+    differ = differing(pairs, ["row", "which"]).groupBy("row").agg(*[F.max(F.when(F.col("which") == w, F.col("differ"))).alias(f"d_{w}") for w in "en"])
+    own = F.array(F.struct(F.lit("o").alias("which"), F.col("found").alias("a")), F.struct(F.lit("e").alias("which"), F.col("edited_found").alias("a")))
+    prints = rows.select("row", F.explode(own).alias("p")).select("row", "p.*", F.lit(TABLES[0]).alias("s")).repartition("row")
+    prints = shown(sketches(prints, ["row", "which"], _entries(F.col("a"), F.col("s"), 1)), ["row", "which"])
+    prints = prints.groupBy("row").agg(*[F.coalesce(F.max(F.when(F.col("which") == w, F.col("shown"))), F.lit("")).alias(f"p_{w}") for w in "oe"])
+
+    def likeness(d: str, b: str) -> Column:
+        total = F.size("found") + F.size(b)
+        return F.when(total == 0, F.lit(1.0)).otherwise(1.0 - F.col(d) / total)
+
+    out = rows.join(prints, "row", "left").join(differ, "row")
+    return out.select(
         "doc_id",
         "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
-        shown(sketch(F.col("found"))).alias("fingerprint"),
-        shown(sketch(F.col("edited_found"))).alias("edited_fingerprint"),
-        likeness(F.col("found"), F.col("edited_found")).alias("near_edited"),
-        likeness(F.col("found"), F.col("next_found")).alias("near_next"),
+        "edited_sha256",
+        F.coalesce("p_o", F.lit("")).alias("fingerprint"),
+        F.coalesce("p_e", F.lit("")).alias("edited_fingerprint"),
+        likeness("d_e", "edited_found").alias("near_edited"),
+        likeness("d_n", "next_found").alias("near_next"),
     )
 
 
