@@ -9,7 +9,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterflow.functions import labels as L
 from meterflow.operators.sampling import numbered
 
 

@@ -111,7 +111,7 @@ def join_rule_match(spark, sf_dir):
 
 
 Q("join_glob", "SELECT n_name FROM nation WHERE regexp_full_match(n_name, 'NATION_1[^/]*') OR regexp_full_match(n_name, '[A-I][^/]*[AN]')")(lambda s, d: table(s, d, "nation").where(F.col("n_name").rlike(glob("NATION_1*")) | F.col("n_name").rlike(glob("[A-I]*[AN]"))).select("n_name"))
-Q("join_metadata", "SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")(lambda s, d: table(s, d, "customer").join(F.broadcast(table(s, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "n_name"))
+Q("join_metadata", "SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")(lambda s, d: table(s, d, "customer").join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "n_name"))
 Q("join_drop_groups", DP + ", g AS (SELECT u FROM dp GROUP BY 1 HAVING COUNT(*) > 70) SELECT dp_id FROM dp WHERE u NOT IN (SELECT u FROM g)")(
     lambda s, d: (lambda p: p.join(p.groupBy("u").agg(F.count(F.lit(1)).alias("c")).where("c > 70"), "u", "left_anti").select("dp_id"))(event_points(s, d).withColumn("u", L.get(M(), "user")))
 )
