@@ -44,15 +44,15 @@ def _batch(rows: list[tuple], names: list[str]):
     return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds.get(n, pa.binary())) for c, n in enumerate(names)], names=names)
 
 
-_SENT = ["bucket", "piece", "probes", "keys", "place", "hit", "docs", "first"]
+_SENT = ["bucket", "piece", "probes", "keys", "place", "docs", "first"]
 
 
 def _index_and_probes(width: int, buckets: int):
     """One row a bucket and piece: keys of every rolling block, and place of those on fixed block borders.
 
-    Within a piece each key is sent once. A bordered block whose key occurs again in its own piece is a
-    hit already; its place goes along as such. Places are word numbers in the piece; one more row holds
-    its texts' keys and first words.
+    Within a piece each key is sent once, however often it occurs. A bordered block whose key occurs again in
+    its own piece is a hit already; its place goes past the buckets, in a row of the piece that also holds its
+    texts' keys and first words. Places are word numbers in the piece.
     """
     block = width // 2
 
@@ -75,16 +75,17 @@ def _index_and_probes(width: int, buckets: int):
                 new = np.concatenate([[True], full[1:] != full[:-1]])
                 times = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
                 border = at[place] % block == 0
-                own, probe = np.flatnonzero(border), np.flatnonzero(new & ~(border & (times == 1)))
+                own, probe = np.flatnonzero(border & (times == 1)), np.flatnonzero(new & ~(border & (times == 1)))
                 pb, bb = (full[probe] >> np.uint64(32)).astype(np.int64), (full[own] >> np.uint64(32)).astype(np.int64)
                 used = np.union1d(pb, bb)
                 p_edge, b_edge = np.searchsorted(pb, np.append(used, buckets)), np.searchsorted(bb, np.append(used, buckets))
                 low, place = full.astype(np.uint32), place.astype(np.uint32)
                 name = _piece(ids[i:j])
-                rows = [(name % buckets, name, b"", b"", b"", b"", ids[i:j].tobytes(), np.concatenate([[0], np.cumsum(n)]).astype(np.int64).tobytes())]
+                known = place[border & (times > 1)].tobytes()
+                rows = [(name % buckets, name, b"", b"", known, ids[i:j].tobytes(), np.concatenate([[0], np.cumsum(n)]).astype(np.int64).tobytes())]
                 for u in range(len(used)):
                     pr, ow = probe[p_edge[u] : p_edge[u + 1]], own[b_edge[u] : b_edge[u + 1]]
-                    rows.append((int(used[u]), name, low[pr].tobytes(), low[ow].tobytes(), place[ow].tobytes(), (times[ow] > 1).tobytes(), None, None))
+                    rows.append((int(used[u]), name, low[pr].tobytes(), low[ow].tobytes(), place[ow].tobytes(), None, None))
                 yield _batch(rows, _SENT)
 
     return run
@@ -107,10 +108,12 @@ def _hits(key, table):
     every = np.sort(np.concatenate([np.frombuffer(r["probes"], np.uint32) for r in got] + low))
     rows = []
     for r, k in zip(got, low):
+        if r["docs"] is not None:
+            rows.append((r["piece"], r["place"], r["docs"], r["first"]))
+            continue
         more = np.searchsorted(every, k, "right") - np.searchsorted(every, k, "left") > 1
-        more |= np.frombuffer(r["hit"], bool)
-        if r["docs"] is not None or more.any():
-            rows.append((r["piece"], np.frombuffer(r["place"], np.uint32)[more].tobytes(), r["docs"], r["first"]))
+        if more.any():
+            rows.append((r["piece"], np.frombuffer(r["place"], np.uint32)[more].tobytes(), None, None))
     return _replies(rows)
 
 
@@ -138,11 +141,11 @@ def _unpack(found) -> np.ndarray:
     return np.frombuffer(b"".join(found or []), np.uint32).astype(np.int64)
 
 
-_FOUND = ["bucket", "piece", "sent", "keys", "place", "doc", "ids", "docs", "first"]
+_FOUND = ["bucket", "piece", "keys", "place", "doc", "ids", "docs", "first"]
 
 
 def _windows(width: int, buckets: int):
-    """Extension: each window over a hit block, under a hash of all its words; the first of a piece's equals goes out."""
+    """Extension: each window over a hit block, under a hash of all its words. Only the first of a piece's equals goes out."""
     block = width // 2
 
     def run(batches):
@@ -172,18 +175,19 @@ def _windows(width: int, buckets: int):
                 new = np.concatenate([[True], k[1:] != k[:-1]])
                 head = np.flatnonzero(new)[np.cumsum(new) - 1]
                 later = (did != did[head]) | (at != at[head])  # equal places of rows that share an id are no earlier ones
+                known = place[later].astype(np.uint32).tobytes()
                 bucket = (other % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                k, place, doc, later, bucket = k[order], place[order].astype(np.uint32), doc[order], later[order], bucket[order]
+                order = order[~later[order]]
+                k, place, doc, bucket = k[order], place[order].astype(np.uint32), doc[order], bucket[order]
                 cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
                 name = _piece(ids[i:j])
-                rows = [(name % buckets, name, b"", b"", b"", b"", b"", ids[i:j].tobytes(), first.astype(np.int64).tobytes())]
+                rows = [(name % buckets, name, b"", known, b"", b"", ids[i:j].tobytes(), first.astype(np.int64).tobytes())]
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                    sent = ~later[a:b]
-                    docs, inv = np.unique(doc[a:b][sent], return_inverse=True)
+                    docs, inv = np.unique(doc[a:b], return_inverse=True)
                     small = np.uint16 if len(docs) <= 1 << 16 else np.uint32
                     about = np.stack([ids[docs + i, 0], first[docs]], axis=1)  # id, and the place its words are counted from
-                    rows.append((int(bucket[a]), name, sent.tobytes(), k[a:b][sent].tobytes(), place[a:b].tobytes(), inv.astype(small).tobytes(), about.tobytes(), None, None))
+                    rows.append((int(bucket[a]), name, k[a:b].tobytes(), place[a:b].tobytes(), inv.astype(small).tobytes(), about.tobytes(), None, None))
                 yield _batch(rows, _FOUND)
 
     return run
@@ -191,32 +195,32 @@ def _windows(width: int, buckets: int):
 
 def _later(key, table):
     """Windows whose words also start earlier: in another document of smaller id, or earlier in the same. One reply a piece."""
-    got = table.to_pylist()
-    sent = [np.frombuffer(r["sent"], bool) for r in got]
+    every = table.to_pylist()
+    rows = [(r["piece"], r["place"], r["docs"], r["first"]) for r in every if r["docs"] is not None]
+    got = [r for r in every if r["docs"] is None]
+    if not got:
+        return _replies(rows)
     place = [np.frombuffer(r["place"], np.uint32) for r in got]
     k = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in got])
     ids, at = [], []
-    for r, s, p in zip(got, sent, place):
+    for r, p in zip(got, place):
         about = np.frombuffer(r["ids"], np.int64).reshape(-1, 2)
         doc = np.frombuffer(r["doc"], np.uint16 if len(about) <= 1 << 16 else np.uint32)
         ids.append(about[doc, 0])
-        at.append(p[s].astype(np.int64) - about[doc, 1])
+        at.append(p.astype(np.int64) - about[doc, 1])
     d, p = np.concatenate(ids), np.concatenate(at)
     order = np.lexsort((p, d, k))
     k, d, p = k[order], d[order], p[order]
+    new = np.concatenate([[True], k[1:] != k[:-1]])
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
     gone = np.zeros(len(k), bool)
-    if len(k):
-        new = np.concatenate([[True], k[1:] != k[:-1]])
-        head = np.flatnonzero(new)[np.cumsum(new) - 1]
-        gone[order] = (d != d[head]) | (p != p[head])
-    rows, start = [], 0
-    for r, s, x in zip(got, sent, place):
-        n = int(s.sum())
-        out = ~s
-        out[s] = gone[start : start + n]
-        start += n
-        if r["docs"] is not None or out.any():
-            rows.append((r["piece"], x[out].tobytes(), r["docs"], r["first"]))
+    gone[order] = (d != d[head]) | (p != p[head])
+    start = 0
+    for r, x in zip(got, place):
+        out = gone[start : start + len(x)]
+        start += len(x)
+        if out.any():
+            rows.append((r["piece"], x[out].tobytes(), None, None))
     return _replies(rows)
 
 
