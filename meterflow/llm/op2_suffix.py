@@ -303,9 +303,9 @@ def _removed(length: int, with_text: bool):
                 raw = (text.as_py() or "").encode()
                 spans = []
                 for f in found.as_py() or []:
-                    for a, b in np.frombuffer(f["marks"], "<i4").reshape(-1, 2).tolist():
-                        at = f["s"] + f["base"]
-                        spans.append((at + a, at + b - 1 + length))
+                    for m in f["m"]:
+                        at = f["s"] + m["base"]
+                        spans += [(at + a, at + b - 1 + length) for a, b in np.frombuffer(m["marks"], "<i4").reshape(-1, 2).tolist()]
                 spans.sort()
                 merged: list[list[int]] = []
                 for a, b in spans:
@@ -360,7 +360,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False,
     marks = cut(marks.where(F.octet_length("marks") > 0), "suffix-marks")
     drop(wants)
     release(spark)
-    spans = members.select("_d", "_h", "h", "c", "s").join(marks, ["h", "c"]).groupBy("_d", "_h").agg(F.collect_list(F.struct("s", "base", "marks")).alias("found"))
+    by_class = marks.groupBy("h", "c").agg(F.collect_list(F.struct("base", "marks")).alias("m"))  # one row a class, of as many blocks as its context has
+    spans = members.select("_d", "_h", "h", "c", "s").join(by_class, ["h", "c"]).groupBy("_d", "_h").agg(F.collect_list(F.struct("s", "m")).alias("found"))
     spans = cut(spans, "suffix-spans")
     drop(members)
     drop(marks)
