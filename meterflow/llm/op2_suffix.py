@@ -354,7 +354,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False,
     wants = cut(wants.groupBy("_d", "_h").agg(F.collect_list("w").alias("w")), "suffix-wants")
     drop(classes)
     release(spark)
-    texts = wants.join(keyed, same_key(wants, keyed))
+    # Lists gathered by text have no proven bound, so they are never broadcast to the texts.
+    texts = wants.hint("merge").join(keyed, same_key(wants, keyed))
     bytes_ = texts.select("text", "w").mapInArrow(_contexts(length, GROUP), "g long, h long, c long, base int, several boolean, bytes binary")
     marks = bytes_.groupBy(F.pmod("g", F.lit(buckets)).alias("_b")).applyInArrow(_sorted_groups(length), "h long, c long, base int, marks binary")
     marks = cut(marks.where(F.octet_length("marks") > 0), "suffix-marks")
@@ -367,7 +368,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False,
     drop(marks)
     release(spark)
     whole = docs.select(*doc_key(F.col("doc_id"), F.col("text")), F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
-    joined = whole.join(spans, same_key(whole, spans), "left").select("doc_id", "text", "found", *keep)
+    joined = whole.join(spans.hint("merge"), same_key(whole, spans), "left").select("doc_id", "text", "found", *keep)
     fields = {f.name: f.dataType.simpleString() for f in joined.schema}
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>" + ", kept_text string" * with_text + "".join(f", `{k}` {fields[k]}" for k in keep)
     return joined.mapInArrow(_removed(length, with_text), schema)
