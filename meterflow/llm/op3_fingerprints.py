@@ -69,6 +69,16 @@ def peeled(cells: DataFrame, keys: list[str], rounds: int = ROUNDS) -> DataFrame
     return cells.groupBy(*keys).agg(F.sum(F.when(F.col("i") >= 0, 1).otherwise(0)).alias("left"), F.sum(F.when(F.col("i") < 0, F.col("n")).otherwise(0)).alias("got"))
 
 
+def _dealt(rows: DataFrame, key: str, digests_: Column, each: int = 150_000) -> DataFrame:
+    """rows dealt by key to so many tasks that each gets about each digests: their cells then fit in memory.
+
+    The number is given, as rows grow tenfold once their digests are exploded, which adaptive execution
+    can't see when it merges small partitions.
+    """
+    total = rows.agg(F.sum(digests_)).first()[0] or 0
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // each)), key)
+
+
 def differing(pairs: DataFrame, keys: list[str], tables: tuple[int, ...] = TABLES) -> DataFrame:
     """(keys, differ): the number of digests that a and b of each row don't share.
 
@@ -77,7 +87,7 @@ def differing(pairs: DataFrame, keys: list[str], tables: tuple[int, ...] = TABLE
     """
     parts, open_ = [], pairs
     for size in tables:
-        rows = open_.withColumn("s", F.lit(size)).repartition(keys[0])
+        rows = _dealt(open_.withColumn("s", F.lit(size)), keys[0], F.size("a") + F.size("b"))
         cells = sketches(rows, keys, F.concat(_entries(F.col("a"), F.col("s"), 1), _entries(F.col("b"), F.col("s"), -1)))
         out = peeled(cells, keys)
         tried = cut(open_.select(*keys).join(out, keys, "left").select(*keys, F.coalesce("left", F.lit(0)).alias("left"), F.coalesce("got", F.lit(0)).alias("differ")), "sketch-peeled")
@@ -157,7 +167,7 @@ def fingerprint_versions(docs: DataFrame) -> DataFrame:
     pairs = rows.select("row", F.explode(two).alias("p")).select("row", "p.*")
     differ = differing(pairs, ["row", "which"]).groupBy("row").agg(*[F.max(F.when(F.col("which") == w, F.col("differ"))).alias(f"d_{w}") for w in "en"])
     own = F.array(F.struct(F.lit("o").alias("which"), F.col("found").alias("a")), F.struct(F.lit("e").alias("which"), F.col("edited_found").alias("a")))
-    prints = rows.select("row", F.explode(own).alias("p")).select("row", "p.*", F.lit(TABLES[0]).alias("s")).repartition("row")
+    prints = _dealt(rows.select("row", F.explode(own).alias("p")).select("row", "p.*", F.lit(TABLES[0]).alias("s")), "row", F.size("a"))
     prints = shown(sketches(prints, ["row", "which"], _entries(F.col("a"), F.col("s"), 1)), ["row", "which"])
     prints = prints.groupBy("row").agg(*[F.coalesce(F.max(F.when(F.col("which") == w, F.col("shown"))), F.lit("")).alias(f"p_{w}") for w in "oe"])
 
