@@ -71,6 +71,16 @@ def test_all_pairs_of_similarity(spark, monkeypatch):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in P.near_duplicates(spark, frame(spark, rows), "").collect()) == got
 
 
+def test_one_row_stays(spark):
+    rng = random.Random(3)
+    a, b, c = (" ".join(words(rng, 300)) for _ in range(3))
+    rows = [(1, a), (1, a), (2, a), (7, b), (7, b), (None, c), (None, c), (None, b)]
+    got = P.near_duplicates(spark, frame(spark, rows), "")
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, a), (7, b), (None, c)], key=str)
+    after = P.repeated_bytes(spark, got, "").collect()
+    assert sorted(r.text for r in after) == sorted([a, b, c])
+
+
 def test_stages_on_the_small_table(spark, small, tmp_path):
     """test_pipeline's checks of the stages, with groups by similarity instead of op6's two bits."""
     seen = [spark.read.parquet(f"{small}/documents.parquet")]
