@@ -86,12 +86,14 @@ def near_duplicates(docs: DataFrame, distance: int = 2, width: int = 3) -> DataF
 
     Texts with one fingerprint are one vertex, so a group of copies costs one row after a partial
     aggregate. Null or empty text: fingerprint zero, linked like any other. Repeated rows: equal
-    results. A null doc_id is kept; its component is that of its fingerprint, null if no other row has one.
+    results. A null doc_id is kept and links like any other; a component of null ids only is null.
     """
     prints = cut(fingerprints(docs, width), "simhash")
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
-    found = components(links(distinct.where("rep IS NOT NULL"), distance), "simhash-edges")
-    reach = distinct.join(found, distinct["rep"] == found["v"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    found = components(links(distinct.select("fp", F.col("fp").alias("rep")), distance), "simhash-edges")
+    rooted = distinct.join(found.toDF("fp", "root"), "fp", "left")
+    least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("rep").alias("least"))
+    reach = rooted.join(least, "root", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
     return prints.join(reach, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
