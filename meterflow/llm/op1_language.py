@@ -119,7 +119,7 @@ def fit(train: DataFrame, per_language: int = 600) -> Model:
 
     Document frequencies are counted over all of train. The weights learn from a sample of about
     per_language documents of each language, chosen by a hash of doc_id; a fifth of it is kept apart
-    for the temperature. No rows: a model without languages, which answers und.
+    for the temperature, but for one document at least of each language. No rows: a model without languages, which answers und.
     """
     found = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(found)
@@ -165,10 +165,13 @@ def fit(train: DataFrame, per_language: int = 600) -> Model:
     sample = train.withColumn("_u", u).where(F.col("_u") < below).select("text", "lang", F.pmod(F.col("_u") * 977, F.lit(1.0)).alias("_v"), "_u")
     got = sorted(map(tuple, sample.select("text", "lang", "_v").mapInArrow(features, "f binary, n binary, lang string, u double").collect()))
     rows, kept = [], []
+    most = {}
+    for *_, lang, s in got:
+        most[lang] = max(s, most.get(lang, s))
     for f, n, lang, s in got:
         at = np.frombuffer(f, "<u4").astype(np.int64)
         x = (1 + np.log(np.frombuffer(n, "<u4"))) * idf[at]
-        (kept if s < 0.2 else rows).append((at, x / max(np.sqrt(x @ x), 1e-12), langs.index(lang)))
+        (kept if s < 0.2 and s < most[lang] else rows).append((at, x / max(np.sqrt(x @ x), 1e-12), langs.index(lang)))
     w, b = train_ftrl(rows, len(langs))
     model = Model(langs, w.astype(np.float32), b, idf)
     if kept:
