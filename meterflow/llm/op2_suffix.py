@@ -16,6 +16,9 @@ _SLICE = 1 << 20  # bytes of text at once; a longer text goes in overlapping sli
 #: Distinct contexts of an anchor that are sorted as one group; more are dealt anew by block and core.
 GROUP = 1000
 BLOCK = 16
+#: A passage of over 50 words: repeats of so many bytes (51 words of five, the space after each included) and words.
+PASSAGE = (255, 51)
+_NO_ID = -(1 << 63)
 
 
 # -- two-stage suffix sorting ----------------------------------------------------------------------------
@@ -101,15 +104,18 @@ def two_stage_order(data: np.ndarray, ends: np.ndarray, need: np.ndarray, depth:
     return got[need[got]]
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+def common_prefixes(data: np.ndarray, order: np.ndarray, left: np.ndarray, most: int) -> np.ndarray:
     """Length, most at the greatest, of the common prefix of each suffix in order and the one before; 0 first.
 
-    Every suffix in order has at least most bytes.
+    left: bytes from each suffix in order to the end of its context.
     """
     out = np.zeros(len(order), np.int64)
+    reach = np.minimum(left, most)
+    reach[1:] = np.minimum(reach[1:], reach[:-1])
     eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
     alive = np.arange(1, len(order))
     for at in range(0, most, 8):
+        alive = alive[reach[alive] > at]
         if not len(alive):
             break
         x = np.ascontiguousarray(eight[order[alive] + at]).view("<u8")[:, 0] ^ np.ascontiguousarray(eight[order[alive - 1] + at]).view("<u8")[:, 0]
@@ -117,25 +123,28 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
         low = x[differ] & (~x[differ] + np.uint64(1))
         out[alive[differ]] = at + (np.log2(low.astype(np.float64)).astype(np.int64) >> 3)
         alive = alive[~differ]
-    out[alive] = most
-    return np.minimum(out, most)
+        out[alive] = at + 8
+    return np.minimum(out, np.concatenate([[0], reach[1:]])) if len(order) else out
 
 
-def repeated_starts(contexts: list[bytes], length: int) -> list[np.ndarray]:
-    """For each context: whether its string of length bytes at each start occurs at another start of any context."""
+def repeated_starts(contexts: list[bytes], starts: list[int], length: int, reach: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each context, of its first so many starts: whether length bytes there, and whether reach bytes, occur at another start of any context."""
     sizes = np.array([len(c) for c in contexts], np.int64)
     ends = np.cumsum(sizes)
     data = np.frombuffer(b"".join(contexts), np.uint8)
     need = np.zeros(len(data), bool)
-    starts = np.maximum(sizes - length + 1, 0)
-    for e, s, k in zip(ends.tolist(), sizes.tolist(), starts.tolist()):
+    for e, s, k in zip(ends.tolist(), sizes.tolist(), starts):
         need[e - s : e - s + k] = True
-    order = two_stage_order(data, ends, need, length)
-    full = common_prefixes(data, order, length) >= length
-    hit = np.zeros(len(data), bool)
-    hit[order[full]] = True
-    hit[order[:-1][full[1:]]] = True
-    return [hit[e - s : e - s + k] for e, s, k in zip(ends.tolist(), sizes.tolist(), starts.tolist())]
+    order = two_stage_order(data, ends, need, reach)
+    prefix = common_prefixes(data, order, ends[np.searchsorted(ends, order, "right")] - order, reach)
+    hits = []
+    for least in (length, reach):
+        full = prefix >= least
+        hit = np.zeros(len(data), bool)
+        hit[order[full]] = True
+        hit[order[:-1][full[1:]]] = True
+        hits.append(hit)
+    return [tuple(h[e - s : e - s + k] for h in hits) for e, s, k in zip(ends.tolist(), sizes.tolist(), starts)]
 
 
 # -- anchors ---------------------------------------------------------------------------------------------
@@ -195,41 +204,66 @@ def _slices(offsets: np.ndarray, length: int):
                     break
 
 
-def _members(length: int):
+def _signed(h: int) -> int:
+    return h - (1 << 64) * (h >> 63)
+
+
+_MEMBERS = "piece long, h long, c long, t int, _d long, _h long, s long, n int, off int, k int, at binary, ids binary"
+
+
+def _members(length: int, reach: int):
+    """One row a piece of text and class of contexts, with all its places; and one row a piece with its texts' keys.
+
+    A class is the bytes of a context: from its first start to reach bytes after its last, or the text's end.
+    """
+
     def run(batches):
         import pyarrow as pa
         import xxhash
 
+        kinds = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.binary()] * 2
+        names = [x.split()[0] for x in _MEMBERS.split(", ")]
         for batch in batches:
             data, offsets = buffers(batch.column(2))
-            d, hh = batch.column(0), batch.column(1)
+            ids = np.stack([batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)], axis=1)
             for i, j, a, b in _slices(offsets, length):
-                part = data[a:b]
                 whole = j - i > 1 or (a == offsets[i] and b == offsets[j])
                 off = offsets[i : j + 1] - a if whole else np.array([0, b - a])
-                doc, s0, s1, at, h = anchors(part, off, length)
+                doc, s0, s1, at, h = anchors(data[a:b], off, length)
                 if not len(doc):
                     continue
-                raw = part.tobytes()
-                c = [xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in zip(s0.tolist(), (s1 + length).tolist())]
+                end = np.minimum(s1 + reach, offsets[i + 1 + doc] - a)
+                raw = data[a : a + int(end.max())].tobytes()
+                k, where = s1 - s0 + 1, at - s0
+                seeds = (where * (1 << 20) + k).tolist()
+                c = np.array([xxhash.xxh3_64_intdigest(raw[x:y], seed) for x, y, seed in zip(s0.tolist(), end.tolist(), seeds)], np.uint64)
                 begin = (s0 + a) - offsets[i + doc]
-                idx = pa.array(doc + i)
-                yield pa.RecordBatch.from_arrays(
-                    [d.take(idx), hh.take(idx), pa.array(h.view(np.int64)), pa.array(np.array(c, np.uint64).view(np.int64)), pa.array(begin), pa.array((s1 + length - s0).astype(np.int32)), pa.array((at - s0).astype(np.int32))],
-                    names=["_d", "_h", "h", "c", "s", "n", "off"],
-                )
+                order = np.lexsort((np.arange(len(h)), c, h))
+                new = np.concatenate([[True], (h[order[1:]] != h[order[:-1]]) | (c[order[1:]] != c[order[:-1]])])
+                edge = np.append(np.flatnonzero(new), len(order))
+                lead = order[edge[:-1]]
+                by_text = np.argsort(lead, kind="stable")  # neighbours share their keys, which files keep short
+                places = np.stack([doc, begin], axis=1)
+                lists = [places[order[edge[x] : edge[x + 1]]].tobytes() for x in by_text.tolist()]
+                lead, times = lead[by_text], np.diff(edge)[by_text]
+                name = _signed(xxhash.xxh3_64_intdigest(ids[i:j].tobytes(), a if not whole else 0))
+                n = len(lead)
+                key = ids[i + doc[lead]]
+                cols = [np.full(n, name), h[lead].view(np.int64), c[lead].view(np.int64), times, key[:, 0], key[:, 1], begin[lead], (end - s0)[lead], where[lead], k[lead]]
+                yield pa.RecordBatch.from_arrays([*[pa.array(x).cast(t) for x, t in zip(cols, kinds)], pa.array(lists, pa.binary()), pa.nulls(n, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([name if f == "piece" else ids[i:j].tobytes() if f == "ids" else None], t) for f, t in zip(names, kinds)], names=names)
 
     return run
 
 
-def _contexts(length: int, group: int):
+def _contexts(length: int, reach: int, group: int):
     """Bytes of the wanted contexts; those of a large group go as blocks of starts, keyed by their common core."""
 
     def run(batches):
         import pyarrow as pa
         import xxhash
 
-        schema = pa.schema([("g", pa.int64()), ("h", pa.int64()), ("c", pa.int64()), ("base", pa.int32()), ("several", pa.bool_()), ("bytes", pa.binary())])
+        schema = pa.schema([("g", pa.int64()), ("h", pa.int64()), ("c", pa.int64()), ("base", pa.int32()), ("k", pa.int32()), ("several", pa.bool_()), ("bytes", pa.binary())])
         for batch in batches:
             rows: list[tuple] = []
             for text, wants in zip(batch.column(0), batch.column(1)):
@@ -237,16 +271,16 @@ def _contexts(length: int, group: int):
                 for w in wants.as_py():
                     ctx = raw[w["s"] : w["s"] + w["n"]]
                     several = w["times"] > 1
-                    if w["classes"] <= group:
-                        rows.append((w["h"], w["h"], w["c"], 0, several, ctx))
+                    if w["met"] <= group:
+                        rows.append((w["h"], w["h"], w["c"], 0, w["k"], several, ctx))
                         continue
-                    last, off, p = len(ctx) - length, w["off"], 0
+                    last, off, p = w["k"] - 1, w["off"], 0
                     while p <= last:  # starts whose distance to the anchor falls in one block
                         blk = (off - p) // BLOCK
                         q = min(last, off - blk * BLOCK)
                         core = ctx[off - blk * BLOCK : off - blk * BLOCK - BLOCK + 1 + length]
                         g = xxhash.xxh3_64_intdigest(core, seed=(w["h"] ^ blk) & ((1 << 64) - 1))
-                        rows.append((g - (1 << 64) * (g >> 63), w["h"], w["c"], p, several, ctx[p : q + length]))
+                        rows.append((_signed(g), w["h"], w["c"], p, q - p + 1, several, ctx[p : q + reach]))
                         p = q + 1
                 if len(rows) > 4096:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
@@ -263,8 +297,8 @@ def _runs(hit: np.ndarray) -> np.ndarray:
     return d.reshape(-1, 2)
 
 
-def _sorted_groups(length: int, chunk: int = 60_000):
-    """Marks of each context, from suffix arrays over whole groups, about chunk starts together."""
+def _sorted_groups(length: int, reach: int, chunk: int = 60_000):
+    """Marks of each context met once, from suffix arrays over whole groups, about chunk starts together."""
 
     def run(key, table):
         import pyarrow as pa
@@ -272,110 +306,173 @@ def _sorted_groups(length: int, chunk: int = 60_000):
         table = table.sort_by("g")
         g = table.column("g").to_numpy()
         several = table.column("several").to_numpy(zero_copy_only=False)
+        k = table.column("k").to_numpy()
         column = table.column("bytes").combine_chunks()
-        off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-        size = np.diff(off)
         edges = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]])
-        marks: list[bytes] = []
+        found: list[tuple[int, bytes, bytes]] = []
         i = 0
-        total = np.concatenate([[0], np.cumsum(size - length + 1)])
+        total = np.concatenate([[0], np.cumsum(k)])
         while i < len(edges) - 1:
             j = i + 1
             while j < len(edges) - 1 and total[edges[j + 1]] - total[edges[i]] <= chunk:
                 j += 1
             rows = range(edges[i], edges[j])
-            found = repeated_starts(column.slice(edges[i], edges[j] - edges[i]).to_pylist(), length)
-            for r, hit in zip(rows, found):
-                marks.append(_runs(hit | True if several[r] else hit).astype("<i4").tobytes())
+            for r, (short, long) in zip(rows, repeated_starts(column.slice(edges[i], edges[j] - edges[i]).to_pylist(), k[rows.start : rows.stop].tolist(), length, reach)):
+                if not several[r] and short.any():
+                    found.append((r, _runs(short).astype("<i4").tobytes(), _runs(long).astype("<i4").tobytes()))
             i = j
-        return pa.table({"h": table.column("h"), "c": table.column("c"), "base": table.column("base"), "marks": pa.array(marks, pa.binary())})
+        at = pa.array([r for r, _, _ in found], pa.int64())
+        return pa.table({c: table.column(c).take(at) for c in ("h", "c", "base")} | {"short": pa.array([x for _, x, _ in found], pa.binary()), "long": pa.array([x for _, _, x in found], pa.binary())})
+
+    return run
+
+
+def _merged(spans: np.ndarray) -> np.ndarray:
+    """Sorted [a, b) pairs of the union of pairs."""
+    if not len(spans):
+        return spans.reshape(-1, 2)
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    far = np.maximum.accumulate(spans[:, 1])
+    new = np.concatenate([[True], spans[1:, 0] > far[:-1]])
+    first = np.flatnonzero(new)
+    return np.stack([spans[first, 0], far[np.append(first[1:], len(spans)) - 1]], axis=1)
+
+
+def _by_text(length: int, reach: int):
+    """Spans of bytes of a piece's texts, from the replies to its classes."""
+
+    def run(key, table):
+        import pyarrow as pa
+
+        rows = table.to_pylist()
+        ids = np.frombuffer(next(r["ids"] for r in rows if r["ids"] is not None), np.int64).reshape(-1, 2)
+        docs, spans = [[], []], [[], []]
+        for r in rows:
+            if r["ids"] is not None:
+                continue
+            at = np.frombuffer(r["at"], np.int64).reshape(-1, 2)
+            runs: list[list[np.ndarray]] = [[], []]
+            if r["m"] is None:  # the class is met twice
+                runs[0].append(np.array([[0, r["k"] - 1 + length]]))
+                if r["n"] >= reach:
+                    runs[1].append(np.array([[0, min(r["k"] - 1, r["n"] - reach) + reach]]))
+            for m in r["m"] or []:
+                for side, size in ((0, length), (1, reach)):
+                    got = np.frombuffer(m["long" if side else "short"], "<i4").reshape(-1, 2).astype(np.int64)
+                    if len(got):
+                        runs[side].append(got + m["base"] + np.array([0, size - 1]))
+            for side in (0, 1):
+                if runs[side]:
+                    one = _merged(np.concatenate(runs[side]))
+                    spans[side].append((at[:, 1][:, None, None] + one[None]).reshape(-1, 2))
+                    docs[side].append(np.repeat(at[:, 0], len(one)))
+        out: list[dict[int, bytes]] = [{}, {}]
+        for side in (0, 1):
+            if docs[side]:
+                d, x = np.concatenate(docs[side]), np.concatenate(spans[side])
+                order = np.argsort(d, kind="stable")
+                d, x = d[order], x[order]
+                edge = np.concatenate([[0], np.flatnonzero(d[1:] != d[:-1]) + 1, [len(d)]])
+                for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                    out[side][int(d[a])] = _merged(x[a:b]).tobytes()
+        some = sorted(out[0])
+        return pa.table({"_d": pa.array(ids[some, 0]), "_h": pa.array(ids[some, 1]), "short": pa.array([out[0][x] for x in some], pa.binary()), "long": pa.array([out[1].get(x, b"") for x in some], pa.binary())})
 
     return run
 
 
-def _removed(length: int, with_text: bool):
+def _removed(with_text: bool, words: int, cut_passages: bool):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], [], []]
             for text, found in zip(batch.column(1), batch.column(2)):
                 raw = (text.as_py() or "").encode()
-                spans = []
-                for f in found.as_py() or []:
-                    for m in f["m"]:
-                        at = f["s"] + m["base"]
-                        spans += [(at + a, at + b - 1 + length) for a, b in np.frombuffer(m["marks"], "<i4").reshape(-1, 2).tolist()]
-                spans.sort()
-                merged: list[list[int]] = []
-                for a, b in spans:
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
+                got = found.as_py() or []
+                short, long = (_merged(np.frombuffer(b"".join(f[x] for f in got), np.int64).reshape(-1, 2)) for x in ("short", "long"))
+                passages = short[[len(raw[a:b].split()) >= words for a, b in short.tolist()]] if words else short[:0]
+                if cut_passages:
+                    long = _merged(np.concatenate([long, passages]))
                 at, kept = 0, []
-                for a, b in merged:
+                for a, b in long.tolist():
                     kept.append(raw[at:a])
                     at = b
                 kept.append(raw[at:])
                 left = b"".join(kept)
-                for c, v in zip(cols, (len(raw), len(raw) - len(left), len(merged), hashlib.sha256(left).hexdigest(), [x for m in merged for x in m], left.decode("utf-8", "ignore") if with_text else None)):
+                for c, v in zip(cols, (len(raw), len(raw) - len(left), len(long), hashlib.sha256(left).hexdigest(), long.reshape(-1).tolist(), left.decode("utf-8", "ignore") if with_text else None, int((passages[:, 1] - passages[:, 0]).sum()))):
                     c.append(v)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string())
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string(), pa.int64())
             arrays = [pa.array(c, t) for c, t in zip(cols, types)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays[: 6 if with_text else 5], *batch.columns[3:]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *["kept_text"] * with_text, *batch.schema.names[3:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays[:5], *arrays[5:6] * with_text, *arrays[6:] * bool(words), *batch.columns[3:]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *["kept_text"] * with_text, *["n_shared"] * bool(words), *batch.schema.names[3:]])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans[, kept_text], keep...) of every whole text.
+def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False, keep: tuple[str, ...] = (), passage: tuple[int, int] | None = None, cut_passages: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans[, kept_text][, n_shared], keep...) of every whole text.
 
     Removes each byte covered by a string of length bytes that also starts anywhere else, judged on the
-    input. Anchors (content-chosen grams) bring together all places at which one string can start:
-    contexts whose anchor occurs once hold no repeat and need no sorting. Equal contexts of an anchor
-    are one class, counted before anything is dealt; the bytes of one representative each are
-    sorted by the two-stage suffix sort, and adjacent common prefixes mark the repeated starts; a class
-    met twice repeats as a whole. An anchor with very many classes is dealt by blocks of starts and
-    their common core, so one passage in a third of all texts spreads over tasks.
+    input. passage, if given, is a number of bytes (length at most) and of words: n_shared counts the bytes
+    of maximal runs that strings of so many bytes which start twice cover, and that hold so many words.
+    They come from the same suffix arrays and are removed, too, if cut_passages is set.
+
+    Anchors (content-chosen grams) bring together all places at which one string can start: contexts
+    whose anchor occurs once hold no repeat. Equal contexts of an anchor are one class, counted within
+    each piece of text and then over all; a class met twice repeats as a whole. Where an anchor has
+    several classes, the bytes of one representative each are sorted by the two-stage suffix sort, and
+    adjacent common prefixes mark the repeated starts. An anchor with very many classes is dealt by
+    blocks of starts and their common core, so one passage in a third of all texts spreads over tasks,
+    and the reply to a class is one row a piece, however often the piece holds it.
 
     Null text: empty, nothing removed. Repeated rows (one id, one text): each is a place of its own, so
     their strings of length bytes go. Clashing or extra columns of docs aren't read unless in keep.
     Texts of any length go through in slices. kept_text drops the bytes of cut code points.
     """
+    (least, words), reach = passage or (length, 0), length
+    if least > reach:
+        raise ValueError("a passage must not exceed length")
     spark = docs.sparkSession
-    keyed = docs.select(*doc_key(F.col("doc_id"), F.col("text")), "text")
+    key = doc_key(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), F.col("text"))
+    keyed = docs.select(*key, "text")
     buckets = dealt(spark, docs)
-    members = cut(keyed.where(F.octet_length("text") >= length).mapInArrow(_members(length), "_d long, _h long, h long, c long, s long, n int, off int"), "suffix-members")
-    classes = members.groupBy("h", "c").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("_d", "_h", "s", "n", "off")).alias("r"))
+    members = cut(keyed.where(F.octet_length("text") >= least).mapInArrow(_members(least, reach), _MEMBERS), "suffix-members")
+    classes = members.where("ids IS NULL").groupBy("h", "c").agg(F.sum("t").alias("times"), F.min(F.struct(F.xxhash64("piece", "c").alias("o"), "_d", "_h", "s", "n", "off", "k")).alias("r"))
     classes = cut(classes, "suffix-classes")
-    anchors_ = classes.groupBy("h").agg(F.sum("times").alias("_t"), F.count(F.lit(1)).alias("classes")).where("_t > 1").drop("_t")
-    wants = classes.join(anchors_, "h").select("r._d", "r._h", F.struct("h", "c", "times", "classes", "r.s", "r.n", "r.off").alias("w"))
+    anchors_ = classes.groupBy("h").agg(F.sum("times").alias("_t"), F.count(F.lit(1)).alias("met")).where("_t > 1").drop("_t")
+    wants = classes.join(anchors_.where("met > 1"), "h").select("r._d", "r._h", F.struct("h", "c", "times", "met", "r.s", "r.n", "r.off", "r.k").alias("w"))
     wants = cut(wants.groupBy("_d", "_h").agg(F.collect_list("w").alias("w")), "suffix-wants")
+    whole = cut(classes.where("times > 1").select("h", "c"), "suffix-whole")
     drop(classes)
     release(spark)
     # Lists gathered by text have no proven bound, so they are never broadcast to the texts.
-    texts = wants.hint("merge").join(keyed, same_key(wants, keyed))
-    bytes_ = texts.select("text", "w").mapInArrow(_contexts(length, GROUP), "g long, h long, c long, base int, several boolean, bytes binary")
-    marks = bytes_.groupBy(F.pmod("g", F.lit(buckets)).alias("_b")).applyInArrow(_sorted_groups(length), "h long, c long, base int, marks binary")
-    marks = cut(marks.where(F.octet_length("marks") > 0), "suffix-marks")
+    one = keyed.join(wants.hint("merge"), ["_d", "_h"]).select("text", "w")
+    bytes_ = one.mapInArrow(_contexts(least, reach, GROUP), "g long, h long, c long, base int, k int, several boolean, bytes binary")
+    marks = bytes_.repartition(buckets, F.pmod("g", F.lit(buckets))).groupBy(F.pmod("g", F.lit(buckets)).alias("_b"))
+    marks = cut(marks.applyInArrow(_sorted_groups(least, reach), "h long, c long, base int, short binary, long binary"), "suffix-marks")
     drop(wants)
     release(spark)
-    by_class = marks.groupBy("h", "c").agg(F.collect_list(F.struct("base", "marks")).alias("m"))  # one row a class, of as many blocks as its context has
-    spans = members.select("_d", "_h", "h", "c", "s").join(by_class, ["h", "c"]).groupBy("_d", "_h").agg(F.collect_list(F.struct("s", "m")).alias("found"))
-    spans = cut(spans, "suffix-spans")
-    drop(members)
-    drop(marks)
+    by_class = marks.groupBy("h", "c").agg(F.collect_list(F.struct("base", "short", "long")).alias("m"))  # one row a class, of as many blocks as its context has
+    by_class = by_class.unionByName(whole.select("h", "c", F.lit(None).cast(by_class.schema["m"].dataType).alias("m")))
+    told = members.where("ids IS NULL").select("piece", "h", "c", "at", "n", "k").join(by_class, ["h", "c"]).select("piece", "at", "n", "k", "m", F.lit(None).cast("binary").alias("ids"))
+    about = members.where("ids IS NOT NULL").join(told.select("piece").distinct(), "piece", "left_semi")
+    none = {f: F.lit(None).cast(told.schema[f].dataType).alias(f) for f in ("at", "n", "k", "m")}
+    told = told.unionByName(about.select("piece", *none.values(), "ids"))
+    spans = told.groupBy("piece").applyInArrow(_by_text(least, reach), "_d long, _h long, short binary, long binary")
+    spans = cut(spans.groupBy("_d", "_h").agg(F.collect_list(F.struct("short", "long")).alias("found")), "suffix-spans")
+    for done in (members, marks, whole):
+        drop(done)
     release(spark)
-    whole = docs.select(*doc_key(F.col("doc_id"), F.col("text")), F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
-    joined = whole.join(spans.hint("merge"), same_key(whole, spans), "left").select("doc_id", "text", "found", *keep)
+    full = docs.select(*key, F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
+    joined = full.join(spans.hint("merge"), same_key(full, spans), "left").select("doc_id", "text", "found", *keep)
     fields = {f.name: f.dataType.simpleString() for f in joined.schema}
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>" + ", kept_text string" * with_text + "".join(f", `{k}` {fields[k]}" for k in keep)
-    return joined.mapInArrow(_removed(length, with_text), schema)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>" + ", kept_text string" * with_text + ", n_shared long" * bool(words) + "".join(f", `{k}` {fields[k]}" for k in keep)
+    return joined.mapInArrow(_removed(with_text, words, cut_passages), schema)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(read(spark, sf_dir, "documents"))
+    """Contract of operator 2 at 400 bytes, with n_shared: bytes of repeated passages of over 50 words, which stay if shorter."""
+    return remove_repeats(read(spark, sf_dir, "documents"), passage=PASSAGE)
 
 
 QUERIES = {"op2_suffix_dedup": op2_suffix_dedup}

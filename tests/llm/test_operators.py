@@ -48,10 +48,9 @@ def union(n, links):
 # -- 2 ---------------------------------------------------------------------------------------------------
 
 
-def removed_bytes(rows, length):
+def repeated_spans(rows, length):
     raws = [(t or "").encode() for _, t in rows]
     count = Counter(r[i : i + length] for r in raws for i in range(len(r) - length + 1))
-    out = Counter()
     for (k, _), r in zip(rows, raws):
         spans = []
         for i in range(len(r) - length + 1):
@@ -60,20 +59,57 @@ def removed_bytes(rows, length):
                     spans[-1][1] = i + length
                 else:
                     spans.append([i, i + length])
-        kept, at = b"", 0
-        for a, b in spans:
-            kept, at = kept + r[at:a], b
-        kept += r[at:]
+        yield k, r, spans
+
+
+def without(r, spans):
+    kept, at = b"", 0
+    for a, b in spans:
+        kept, at = kept + r[at:a], b
+    return kept + r[at:]
+
+
+def removed_bytes(rows, length):
+    out = Counter()
+    for k, r, spans in repeated_spans(rows, length):
+        kept = without(r, spans)
         out[k, len(r), len(r) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()] += 1
     return out
 
 
+def without_passages(rows, length, passage):
+    """(id, bytes of passages, what is left without them and without strings of length bytes) of each row."""
+    out = Counter()
+    for (k, r, long), (_, _, short) in zip(repeated_spans(rows, length), repeated_spans(rows, passage[0])):
+        some = [x for x in short if len(r[x[0] : x[1]].split()) >= passage[1]]
+        both = []
+        for a, b in sorted(long + some):
+            if both and a <= both[-1][1]:
+                both[-1][1] = max(b, both[-1][1])
+            else:
+                both.append([a, b])
+        out[k, sum(b - a for a, b in some), hashlib.sha256(without(r, both)).hexdigest()] += 1
+    return out
+
+
 @pytest.mark.parametrize("length", [64, 400])
 def test_op2(odd, length):
     got = o2.remove_repeats(odd, length).drop("spans").collect()
     assert Counter(map(tuple, got)) == removed_bytes(pairs(odd), length)
 
 
+@pytest.mark.parametrize("group", [1, 1000])
+def test_op2_passages(odd, monkeypatch, group):
+    """Shorter repeats of enough words are reported and, if asked for, removed; those of the length go in any case."""
+    monkeypatch.setattr(o2, "GROUP", group)
+    got = o2.remove_repeats(odd, 400, passage=(64, 9))
+    assert Counter(map(tuple, got.drop("spans", "n_shared").collect())) == removed_bytes(pairs(odd), 400)
+    want = without_passages(pairs(odd), 400, (64, 9))
+    assert Counter((r.doc_id, r.n_shared) for r in got.collect()) == Counter((k, n) for k, n, _ in want.elements())
+    got = o2.remove_repeats(odd, 400, passage=(64, 9), cut_passages=True)
+    assert Counter((r.doc_id, r.n_shared, r.kept_sha256) for r in got.collect()) == want
+
+
 def test_op2_blocks_of_large_groups(odd, monkeypatch):
     monkeypatch.setattr(o2, "GROUP", 1)
     got = o2.remove_repeats(odd, 64).drop("spans").collect()
@@ -94,7 +130,7 @@ def test_two_stage_order_sorts(contexts, depth):
     raw = data.tobytes()
     heads = [raw[i : min(i + depth, stop[i])] for i in order.tolist()]
     assert sorted(order.tolist()) == np.flatnonzero(need).tolist() and heads == sorted(heads)
-    lcp = o2.common_prefixes(data, order, depth)
+    lcp = o2.common_prefixes(data, order, np.array([stop[i] - i for i in order.tolist()], np.int64), depth)
     assert all(lcp[i] == next((k for k in range(depth) if heads[i][k] != heads[i - 1][k]), depth) for i in range(1, len(heads)))
 
 
