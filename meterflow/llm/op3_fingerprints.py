@@ -38,16 +38,11 @@ def _entries(found: Column, size: Column, count: int) -> Column:
     return F.flatten(F.transform(found, of))
 
 
-def sketches(rows: DataFrame, keys: list[str], entries: Column) -> DataFrame:
+def _summed(cells: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, s, i, n, k, c): the cells of each key's sketch that aren't empty; sums of signed entries subtract sketches.
 
-    rows lie with their first key, and stay: the sums need no exchange.
+    Cells lie with their first key, and stay: the sums need no exchange.
     """
-    cells = rows.select(*keys, "s", F.explode(entries).alias("e")).select(*keys, "s", "e.*")
-    return _summed(cells, keys)
-
-
-def _summed(cells: DataFrame, keys: list[str]) -> DataFrame:
     got = cells.groupBy(*keys, "s", "i").agg(F.sum("n").cast("int").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c"))
     return got.where("n <> 0 OR k <> 0 OR c <> 0")
 
@@ -79,27 +74,52 @@ def _dealt(rows: DataFrame, key: str, digests_: Column, each: int = 150_000) ->
     return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // each)), key)
 
 
-def differing(pairs: DataFrame, keys: list[str], tables: tuple[int, ...] = TABLES) -> DataFrame:
-    """(keys, differ): the number of digests that a and b of each row don't share.
+def first_size(bound: Column, tables: tuple[int, ...] = TABLES) -> Column:
+    """The smallest table that peels a difference of bound digests at once, but for chance: three cells a digest."""
+    out = F.lit(tables[-1])
+    for size in reversed(tables[:-1]):
+        out = F.when(bound <= size, size).otherwise(out)
+    return out
+
+
+def _tagged(which: str, entries: Column, size: Column) -> Column:
+    return F.transform(entries, lambda e: F.struct(F.lit(which).alias("which"), size.cast("int").alias("s"), e["i"].alias("i"), e["n"].alias("n"), e["k"].alias("k"), e["c"].alias("c")))
+
+
+def _tried(rows: DataFrame, versions: dict[str, str], sizes: dict[str, Column]) -> DataFrame:
+    """(row, left_w, got_w of each version w): sketches of found and each version, subtracted and peeled where rows lie."""
+    entries = [_tagged(w, _entries(F.col(c), sizes[w], n), sizes[w]) for w, other in versions.items() for c, n in (("found", 1), (other, -1))]
+    cells = _summed(rows.select("row", F.explode(F.concat(*entries)).alias("e")).select("row", "e.*"), ["row", "which"])
+    out = peeled(cells, ["row", "which"])
+    side = lambda w, c: F.coalesce(F.sum(F.when(F.col("which") == w, F.col(c))), F.lit(0))
+    return out.groupBy("row").agg(*[side(w, c).alias(f"{c}_{w}") for w in versions for c in ("left", "got")])
+
+
+def differing(rows: DataFrame, versions: dict[str, str], tables: tuple[int, ...] = TABLES) -> DataFrame:
+    """(row, d_w of each version w): the number of digests that found and the version's column don't share.
 
-    All rows are tried with the smallest sketches; those whose peeling gets stuck again with tables eight
-    times larger, and so on. Rows beyond the largest are compared digest by digest.
+    rows: row, found and the versions' columns, arrays of distinct digests. The first table follows the
+    numbers of digests; rows whose peeling gets stuck are tried again with tables eight times larger, and so
+    on. Rows beyond the largest are compared digest by digest.
     """
-    parts, open_ = [], pairs
-    for size in tables:
-        rows = _dealt(open_.withColumn("s", F.lit(size)), keys[0], F.size("a") + F.size("b"))
-        cells = sketches(rows, keys, F.concat(_entries(F.col("a"), F.col("s"), 1), _entries(F.col("b"), F.col("s"), -1)))
-        out = peeled(cells, keys)
-        tried = cut(open_.select(*keys).join(out, keys, "left").select(*keys, F.coalesce("left", F.lit(0)).alias("left"), F.coalesce("got", F.lit(0)).alias("differ")), "sketch-peeled")
-        parts.append(tried.where("left = 0").select(*keys, "differ"))
-        stuck = tried.where("left > 0").select(*keys)
-        if stuck.isEmpty():
+    rows = rows.select("row", "found", *versions.values())
+    size = {w: first_size(F.size("found") + F.size(c), tables) for w, c in versions.items()}
+    names = [f"{c}_{w}" for w in versions for c in ("left", "got")]
+    stuck = reduce(Column.__or__, [F.col(f"left_{w}") > 0 for w in versions])
+    parts, open_ = [], rows
+    for turn in range(len(tables)):
+        dealt = _dealt(open_, "row", F.size("found") + sum(F.size(c) for c in versions.values()))
+        out = _tried(dealt, versions, {w: F.least(size[w] * 8**turn, F.lit(tables[-1])) for w in versions})
+        tried = cut(dealt.select("row").join(out, "row", "left").select("row", *[F.coalesce(n, F.lit(0)).alias(n) for n in names]), "sketch-peeled")
+        parts.append(tried.where(~stuck))
+        left = tried.where(stuck).select("row")
+        if left.isEmpty():
             break
-        open_ = pairs.join(stuck, keys)
+        open_ = rows.join(left, "row")
     else:
-        exact = F.size(F.array_except("a", "b")) + F.size(F.array_except("b", "a"))
-        parts.append(open_.select(*keys, exact.cast("long").alias("differ")))
-    return reduce(DataFrame.unionByName, parts)
+        exact = lambda c: (F.size(F.array_except("found", c)) + F.size(F.array_except(c, "found"))).cast("long")
+        parts.append(open_.select("row", *[x for w, c in versions.items() for x in (F.lit(0).cast("long").alias(f"left_{w}"), exact(c).alias(f"got_{w}"))]))
+    return reduce(DataFrame.unionByName, parts).select("row", *[F.col(f"got_{w}").alias(f"d_{w}") for w in versions])
 
 
 def shown(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -163,19 +183,18 @@ def fingerprint_versions(docs: DataFrame) -> DataFrame:
     )
     rows = cut(rows, "sketch-rows")
     release(spark)
-    two = F.array(F.struct(F.lit("e").alias("which"), F.col("found").alias("a"), F.col("edited_found").alias("b")), F.struct(F.lit("n").alias("which"), F.col("found").alias("a"), F.col("next_found").alias("b")))
-    pairs = rows.select("row", F.explode(two).alias("p")).select("row", "p.*")
-    differ = differing(pairs, ["row", "which"]).groupBy("row").agg(*[F.max(F.when(F.col("which") == w, F.col("differ"))).alias(f"d_{w}") for w in "en"])
-    own = F.array(F.struct(F.lit("o").alias("which"), F.col("found").alias("a")), F.struct(F.lit("e").alias("which"), F.col("edited_found").alias("a")))
-    prints = _dealt(rows.select("row", F.explode(own).alias("p")).select("row", "p.*", F.lit(TABLES[0]).alias("s")), "row", F.size("a"))
-    prints = shown(sketches(prints, ["row", "which"], _entries(F.col("a"), F.col("s"), 1)), ["row", "which"])
+    differ = differing(rows, {"e": "edited_found", "n": "next_found"})
+    own = F.concat(*[_tagged(w, _entries(F.col(c), F.lit(TABLES[0]), 1), F.lit(TABLES[0])) for w, c in (("o", "found"), ("e", "edited_found"))])
+    dealt = _dealt(rows, "row", F.size("found") + F.size("edited_found"))
+    prints = _summed(dealt.select("row", F.explode(own).alias("e")).select("row", "e.*"), ["row", "which"])
+    prints = shown(prints, ["row", "which"])
     prints = prints.groupBy("row").agg(*[F.coalesce(F.max(F.when(F.col("which") == w, F.col("shown"))), F.lit("")).alias(f"p_{w}") for w in "oe"])
 
     def likeness(d: str, b: str) -> Column:
         total = F.size("found") + F.size(b)
         return F.when(total == 0, F.lit(1.0)).otherwise(1.0 - F.col(d) / total)
 
-    out = rows.join(prints, "row", "left").join(differ, "row")
+    out = dealt.join(prints, "row", "left").join(differ, "row")
     return out.select(
         "doc_id",
         "n_chars",
@@ -188,6 +207,7 @@ def fingerprint_versions(docs: DataFrame) -> DataFrame:
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of operator 3: every document against its edited text and the next document."""
     return fingerprint_versions(read(spark, sf_dir, "documents"))
 
 

@@ -175,12 +175,10 @@ def test_op3_repeated_and_null_ids(odd):
 def test_op3_peeling_retries(spark):
     a = list(range(400))
     df = spark.createDataFrame([(0, a, a[:397]), (1, a, [x + 10_000 for x in a]), (2, [], []), (3, [], a), (4, a, a)], "row long, a array<long>, b array<long>")
-    df = df.select("row", *[F.transform(c, lambda x: F.xxhash64(x)).alias(c) for c in ("a", "b")])
+    df = df.select("row", *[F.transform(c, lambda x: F.xxhash64(x)).alias(n) for c, n in (("a", "found"), ("b", "b"))])
     for tables in (o3.TABLES, (8,), (8, 32)):  # beyond the last table digests are compared
-        assert {r.row: r.differ for r in o3.differing(df, ["row"], tables).collect()} == {0: 3, 1: 800, 2: 0, 3: 400, 4: 0}
-    rows = df.withColumn("s", F.lit(8))
-    cells = o3.sketches(rows, ["row"], F.concat(o3._entries(F.col("a"), F.col("s"), 1), o3._entries(F.col("b"), F.col("s"), -1)))
-    got = {r.row: (r.left, r.got) for r in o3.peeled(cells, ["row"]).collect()}
+        assert {r.row: r.d_x for r in o3.differing(df, {"x": "b"}, tables).collect()} == {0: 3, 1: 800, 2: 0, 3: 400, 4: 0}
+    got = {r.row: (r.left_x, r.got_x) for r in o3._tried(df, {"x": "b"}, {"x": F.lit(8)}).collect()}
     assert got[0] == (0, 3) and got[1][0] > 0 and got[3][0] > 0 and set(got) == {0, 1, 3}
 
 
