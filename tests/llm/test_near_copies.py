@@ -7,8 +7,9 @@ from collections import Counter
 
 import corpus_pipeline as P
 from meterflow.llm import near_copies as N
-from meterflow.llm import op4_mixing
-from test_operators import removed_bytes, union
+from meterflow.llm import op4_mixing, op10_quality
+from meterflow.llm.op2_suffix import PASSAGE
+from test_operators import union, without_passages
 
 SCHEMA = "doc_id long, text string, source string, n_chars long"
 
@@ -82,13 +83,17 @@ def test_one_row_stays(spark):
 
 
 def test_stages_on_the_small_table(spark, small, tmp_path):
-    """test_pipeline's checks of the stages, with groups by similarity instead of op6's two bits."""
+    """Columns and decisions of each stage, against the operators and brute force."""
     seen = [spark.read.parquet(f"{small}/documents.parquet")]
+    columns = seen[0].columns
     for i, (_, stage) in enumerate(P.STAGES):
         stage(spark, seen[-1], small).write.parquet(str(tmp_path / str(i)))
         seen.append(spark.read.parquet(str(tmp_path / str(i))))
+    assert all(d.columns == columns for d in seen[:-1])
+    good = op10_quality.judge(seen[0], op10_quality.quality_model(spark, small), seen[0]["doc_id"]).where("predicted = 1")
+    assert {r.doc_id for r in seen[1].collect()} == {r.doc_id for r in good.collect()}
     assert sorted(((r.doc_id is None, r.doc_id or 0) for r in seen[2].collect())) == kept([(r.doc_id, r.text) for r in seen[1].collect()])
-    want = {(k, h) for k, _, _, _, h in removed_bytes([(r.doc_id, r.text) for r in seen[2].collect()], 400)}
+    want = {(k, h) for k, _, h in without_passages([(r.doc_id, r.text) for r in seen[2].collect()], 400, PASSAGE)}
     assert {(r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in seen[3].collect() if r.text.isascii()} <= want
     assert seen[3].count() == seen[2].count() and all(r.n_chars == len(r.text) for r in seen[3].collect())
     copies = Counter({r.doc_id: r.copies for r in op4_mixing.mix_sources(seen[3]).collect()})
