@@ -204,6 +204,21 @@ def _slices(offsets: np.ndarray, length: int):
                     break
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start+1, ... of each range, one after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+
+
+def _flat(column, kind) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs in a column of binary values, nulls as empty, and the number of pairs of each value."""
+    import pyarrow.compute as pc
+
+    column = pc.fill_null(column.combine_chunks() if hasattr(column, "combine_chunks") else column, b"")
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False)
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, 2).astype(np.int64), sizes // (2 * np.dtype(kind).itemsize)
+
+
 def _signed(h: int) -> int:
     return h - (1 << 64) * (h >> 63)
 
@@ -243,14 +258,14 @@ def _members(length: int, reach: int):
                 edge = np.append(np.flatnonzero(new), len(order))
                 lead = order[edge[:-1]]
                 by_text = np.argsort(lead, kind="stable")  # neighbours share their keys, which files keep short
-                places = np.stack([doc, begin], axis=1)
-                lists = [places[order[edge[x] : edge[x + 1]]].tobytes() for x in by_text.tolist()]
                 lead, times = lead[by_text], np.diff(edge)[by_text]
+                places = np.stack([doc, begin], axis=1)[order[_ranges(edge[:-1][by_text], times)]]
+                lists = pa.Array.from_buffers(pa.binary(), len(lead), [None, pa.py_buffer((16 * np.concatenate([[0], np.cumsum(times)])).astype(np.int32)), pa.py_buffer(places.tobytes())])
                 name = _signed(xxhash.xxh3_64_intdigest(ids[i:j].tobytes(), a if not whole else 0))
                 n = len(lead)
                 key = ids[i + doc[lead]]
                 cols = [np.full(n, name), h[lead].view(np.int64), c[lead].view(np.int64), times, key[:, 0], key[:, 1], begin[lead], (end - s0)[lead], where[lead], k[lead]]
-                yield pa.RecordBatch.from_arrays([*[pa.array(x).cast(t) for x, t in zip(cols, kinds)], pa.array(lists, pa.binary()), pa.nulls(n, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([*[pa.array(x).cast(t) for x, t in zip(cols, kinds)], lists, pa.nulls(n, pa.binary())], names=names)
                 yield pa.RecordBatch.from_arrays([pa.array([name if f == "piece" else ids[i:j].tobytes() if f == "ids" else None], t) for f, t in zip(names, kinds)], names=names)
 
     return run
@@ -344,37 +359,33 @@ def _by_text(length: int, reach: int):
     def run(key, table):
         import pyarrow as pa
 
-        rows = table.to_pylist()
-        ids = np.frombuffer(next(r["ids"] for r in rows if r["ids"] is not None), np.int64).reshape(-1, 2)
-        docs, spans = [[], []], [[], []]
-        for r in rows:
-            if r["ids"] is not None:
-                continue
-            at = np.frombuffer(r["at"], np.int64).reshape(-1, 2)
-            runs: list[list[np.ndarray]] = [[], []]
-            if r["m"] is None:  # the class is met twice
-                runs[0].append(np.array([[0, r["k"] - 1 + length]]))
-                if r["n"] >= reach:
-                    runs[1].append(np.array([[0, min(r["k"] - 1, r["n"] - reach) + reach]]))
-            for m in r["m"] or []:
-                for side, size in ((0, length), (1, reach)):
-                    got = np.frombuffer(m["long" if side else "short"], "<i4").reshape(-1, 2).astype(np.int64)
-                    if len(got):
-                        runs[side].append(got + m["base"] + np.array([0, size - 1]))
-            for side in (0, 1):
-                if runs[side]:
-                    one = _merged(np.concatenate(runs[side]))
-                    spans[side].append((at[:, 1][:, None, None] + one[None]).reshape(-1, 2))
-                    docs[side].append(np.repeat(at[:, 0], len(one)))
-        out: list[dict[int, bytes]] = [{}, {}]
-        for side in (0, 1):
-            if docs[side]:
-                d, x = np.concatenate(docs[side]), np.concatenate(spans[side])
-                order = np.argsort(d, kind="stable")
-                d, x = d[order], x[order]
-                edge = np.concatenate([[0], np.flatnonzero(d[1:] != d[:-1]) + 1, [len(d)]])
-                for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                    out[side][int(d[a])] = _merged(x[a:b]).tobytes()
+        about = table.filter(table.column("ids").is_valid())
+        ids = np.frombuffer(about.column("ids")[0].as_py(), np.int64).reshape(-1, 2)
+        table = table.filter(table.column("at").is_valid())
+        at, places = _flat(table.column("at"), np.int64)
+        first = np.cumsum(places) - places
+        n, k = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "k"))
+        column = table.column("m").combine_chunks()
+        whole = column.is_null().to_numpy(zero_copy_only=False)  # classes that are met twice
+        lists = column.fill_null([])
+        marks, row = lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        base = marks.field("base").to_numpy(zero_copy_only=False).astype(np.int64)
+        out: list[dict[int, bytes]] = []
+        for name, size in (("short", length), ("long", reach)):
+            runs, counts = _flat(marks.field(name), "<i4")
+            spans = runs + np.repeat(base, counts)[:, None] + np.array([0, size - 1])
+            of = np.repeat(row, counts)
+            some = np.flatnonzero(whole & (n >= size))
+            spans = np.concatenate([spans, np.stack([np.zeros(len(some), np.int64), np.minimum(k[some] - 1, n[some] - size) + size], axis=1)])
+            of = np.concatenate([of, some])
+            where = at[_ranges(first[of], places[of])]
+            spans = np.repeat(spans, places[of], axis=0) + where[:, 1:]
+            far = int(spans.max(initial=0)) + 2
+            joint = _merged(spans + where[:, :1] * far)
+            doc = joint[:, 0] // far
+            joint -= (doc * far)[:, None]
+            edge = np.concatenate([[0], np.flatnonzero(doc[1:] != doc[:-1]) + 1, [len(doc)]]) if len(doc) else np.zeros(1, np.int64)
+            out.append({int(doc[a]): joint[a:b].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())})
         some = sorted(out[0])
         return pa.table({"_d": pa.array(ids[some, 0]), "_h": pa.array(ids[some, 1]), "short": pa.array([out[0][x] for x in some], pa.binary()), "long": pa.array([out[1].get(x, b"") for x in some], pa.binary())})
 
