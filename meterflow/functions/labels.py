@@ -65,9 +65,17 @@ def java_replacement(text: str) -> str:
 
 
 def number_text(x: Column) -> Column:
-    """A double as text: an integer if whole, else decimals without an exponent."""
-    plain = F.regexp_replace(F.regexp_replace(x.cast("decimal(38,12)").cast("string"), "0+$", ""), r"\.$", "")
-    return F.when(x == F.floor(x), x.cast("decimal(38,0)").cast("string")).otherwise(plain)
+    """A double as text, by its own shortest digits and without an exponent; infinities are +Inf and -Inf."""
+    text = x.cast("string")
+    part = lambda i: F.regexp_extract(text, r"^(-?)(\d+)\.(\d+)(?:E(-?\d+))?$", i)
+    fraction = F.regexp_replace(part(3), "0+$", "")
+    digits, power = F.concat(part(2), fraction), F.coalesce(part(4).try_cast("int"), F.lit(0))
+    point = F.length(part(2)) + power  # digits before the point
+    padded = F.rpad(digits, F.greatest(point, F.length(digits)), F.lit("0"))
+    large = F.concat(F.substring(padded, F.lit(1), point), F.when(F.length(padded) > point, F.concat(F.lit("."), F.substring(padded, point + 1, F.length(padded)))).otherwise(""))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits)
+    plain = F.concat(part(1), F.when(point > 0, large).otherwise(small))
+    return F.when(x == float("inf"), "+Inf").when(x == float("-inf"), "-Inf").when(F.isnan(x), "NaN").otherwise(plain)
 
 
 def when(cond: Column, then: Column, labels: Column) -> Column:

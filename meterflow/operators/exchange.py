@@ -45,6 +45,13 @@ def with_owner(points: DataFrame, keys: list[str], ring: Ring) -> DataFrame:
     return keyed.withColumn("endpoint", owner(F.xxhash64("shard_key")))
 
 
+def split_request(points: DataFrame, keys: list[str], ring: Ring) -> DataFrame:
+    """(part, what, dp_id, endpoint): each series' datapoints go to the owner of its shard key, a metric's metadata to every endpoint."""
+    series = with_owner(points, keys, ring).select(F.lit("series").alias("part"), F.col("shard_key").alias("what"), "dp_id", "endpoint")
+    everywhere = F.explode(F.array(*[F.lit(e) for e in sorted(set(ring.owners))]))
+    return series.unionByName(points.select(F.lit("metadata").alias("part"), F.col("name").alias("what"), "dp_id", everywhere.alias("endpoint")))
+
+
 def by_count(df: DataFrame, most: int, order: list[str]) -> DataFrame:
     """df with batch: consecutive groups of at most most rows."""
     return numbered(df, order, "_n").withColumn("batch", F.floor((F.col("_n") - 1) / most)).drop("_n")

@@ -18,6 +18,10 @@ from meterflow.functions.hashing import sampled
 from meterflow.model import window_start
 
 
+#: What can be done with rows beyond a limit.
+ACTIONS = ("log", "drop", "sample", "strip", "adaptive")
+
+
 @dataclass(frozen=True)
 class Limit:
     name: str
@@ -36,6 +40,11 @@ class Limit:
     strip: tuple[str, ...] = ()
     options: dict = field(default_factory=dict, hash=False)
 
+    def __post_init__(self):
+        for says in (self.action, *(says for _, says in self.tiers)):
+            if says not in ACTIONS:
+                raise ValueError(f"{self.name}: unknown action {says!r}")
+
 
 def match_limit(name: Column, resource: Column, limits: list[Limit]) -> Column:
     """Name of the first limit that fits: name equal or found by pattern anywhere; resource labels equal or '*'."""
@@ -141,20 +150,46 @@ def adaptive(points: DataFrame, limit: Limit, by: str = "rate") -> DataFrame:
     return windows(points, limit).join(dropped_groups(points, limit, by).select("_w", "_g"), ["_w", "_g"], "left_anti")
 
 
+def _use(df: DataFrame, limit: Limit) -> DataFrame:
+    """(_w, _used): the greater share of a window's limits that its rows use before any of them goes."""
+    shares = [n / most for n, most in ((F.count(F.lit(1)), limit.max_rate), (F.count_distinct("_s"), limit.max_cardinality)) if most]
+    return df.groupBy("_w").agg((F.greatest(*shares) if len(shares) > 1 else shares[0] if shares else F.lit(0.0)).alias("_used"))
+
+
 def act(admitted: DataFrame, limit: Limit, dry_run: bool = False) -> DataFrame:
-    """Rows after the limit's action on those beyond it, with their action and rule as labels."""
+    """Rows after the limit's action on those beyond it, with their action and rule as labels.
+
+    Where the limit has tiers, the highest that the window's use reaches replaces the action. adaptive drops
+    whole groups until the window is within its limits, and keeps all others.
+    """
     tag = lambda what: L.put(L.put(F.col("labels"), "action", F.lit(what)), "rule", F.lit(limit.name))
-    over = ~F.col("within")
-    if limit.action == "log":
-        return admitted.withColumn("labels", F.when(over, tag("log")).otherwise(tag("passed")))
-    if limit.action == "sample":
-        keep = sampled(F.col("_s"), float(limit.options.get("rate", 0.1)))
-        return admitted.where(~over | keep).withColumn("labels", F.when(over, tag("sampled_keep")).otherwise(tag("passed")))
-    if limit.action == "strip":
-        return admitted.withColumn("labels", F.when(over, L.put(L.put(L.remove(F.col("labels"), *limit.strip), "action", F.lit("stripped")), "rule", F.lit(limit.name))).otherwise(tag("passed")))
+    df, over = admitted, ~F.col("within")
+    may = {limit.action, *(says for _, says in limit.tiers)}
+    action = F.lit(limit.action)
+    if limit.tiers:
+        df = df.join(_use(df, limit), "_w")
+        action = tiered(limit.action, limit.tiers, F.col("_used"))
+    if "adaptive" in may:
+        gone = [dropped_groups(admitted, limit, by).select("_w", "_g") for by, most in (("rate", limit.max_rate), ("cardinality", limit.max_cardinality)) if most]
+        every = gone[0].unionByName(gone[1]).distinct() if len(gone) > 1 else gone[0]
+        df = df.join(every.withColumn("_gone", F.lit(True)), ["_w", "_g"], "left")
+        over = F.when(action == "adaptive", F.coalesce("_gone", F.lit(False))).otherwise(over)
+    kept = sampled(F.col("_s"), float(limit.options.get("rate", 0.1)))
+    stays = ~over | action.isin("log", "strip") | ((action == "sample") & kept)
     if dry_run:
-        return admitted.withColumn("labels", F.when(over, tag("drop")).otherwise(tag("passed")))
-    return admitted.where(~over).withColumn("labels", tag("passed"))
+        stays = stays | action.isin("drop", "adaptive")
+    stripped = L.put(L.put(L.remove(F.col("labels"), *limit.strip), "action", F.lit("stripped")), "rule", F.lit(limit.name))
+    labels = F.when(~over, tag("passed")).when(action == "log", tag("log")).when(action == "sample", tag("sampled_keep")).when(action == "strip", stripped).otherwise(tag("drop"))
+    return df.where(stays).withColumn("labels", labels).drop("_used", "_gone")
+
+
+def cap_groups(points: DataFrame, limit: Limit, label: str, most: int) -> DataFrame:
+    """points with tracked: whether the row's value of label is among the first most of its window. Later ones pass, but untracked."""
+    df = windows(points, limit).withColumn("_v", L.get(F.col("labels"), label))
+    first = df.groupBy("_w", "_v").agg(F.min(F.struct("ts_ns", "dp_id")).alias("_f"))
+    first = first.select("_w", "_v", F.col("_f.ts_ns").alias("ts_ns"), F.col("_f.dp_id").alias("dp_id"))
+    rank = _nth_in_window(first, "_rank").select("_w", "_v", "_rank")
+    return df.join(rank, ["_w", "_v"]).withColumn("tracked", F.col("_rank") <= most).drop("_rank", "_v")
 
 
 def cap_label(points: DataFrame, limit: Limit, label: str, most: int, drop: bool = False) -> DataFrame:
@@ -171,7 +206,7 @@ def cap_label(points: DataFrame, limit: Limit, label: str, most: int, drop: bool
 def hll_rate(points: DataFrame, limit: Limit) -> DataFrame:
     """Rows of a fraction limit/cardinality of each window's series, by hash; all while within."""
     df = windows(points, limit)
-    n = df.groupBy("_w").agg(F.count_distinct("_s").alias("_n"))
+    n = df.groupBy("_w").agg(F.hll_sketch_estimate(F.hll_sketch_agg("_s", 14)).alias("_n"))
     return df.join(n, "_w").where(sampled(F.col("_s"), F.least(F.lit(1.0), F.lit(float(limit.max_cardinality)) / F.col("_n"))))
 
 

@@ -70,9 +70,15 @@ Q("lim_tiers", DP + f", g AS (SELECT ts_ns - ts_ns % {DAY} AS w, COUNT(*) / 400.
 _CAP = f", f AS (SELECT ts_ns // {DAY} AS w, u, MIN((ts_ns, dp_id)) AS f FROM dp GROUP BY 1, 2), r AS (SELECT w, u, ROW_NUMBER() OVER (PARTITION BY w ORDER BY f) AS rank FROM f)"
 Q("lim_label", DP + _CAP + f" SELECT dp_id, CASE WHEN rank > 40 THEN '' ELSE dp.u END AS u FROM dp JOIN r ON r.w = ts_ns // {DAY} AND r.u = dp.u")(lambda s, d: A.cap_label(event_points(s, d), _limit(), "user", 40).select("dp_id", L.get(M(), "user").alias("u")))
 Q("lim_label_drop", DP + _CAP + f" SELECT dp_id FROM dp JOIN r ON r.w = ts_ns // {DAY} AND r.u = dp.u WHERE rank <= 40")(lambda s, d: A.cap_label(event_points(s, d), _limit(), "user", 40, True).select("dp_id"))
-Q("lim_group_cap", DP + f", f AS (SELECT ts_ns - ts_ns % {DAY} AS w, u, MIN((ts_ns, dp_id)) AS f FROM dp GROUP BY 1, 2) SELECT w, u FROM f QUALIFY ROW_NUMBER() OVER (PARTITION BY w ORDER BY f) <= 25")(
-    lambda s, d: A.cap_label(event_points(s, d), _limit(), "user", 25, True).select(F.col("_w").alias("w"), L.get(M(), "user").alias("u")).distinct()
-)
+Q("lim_group_cap", DP + _CAP + f" SELECT dp_id, rank <= 25 AS tracked FROM dp JOIN r ON r.w = ts_ns // {DAY} AND r.u = dp.u")(lambda s, d: A.cap_groups(event_points(s, d), _limit(), "user", 25).select("dp_id", "tracked"))
+Q(
+    "lim_act_tiers",
+    DP + f", k AS (SELECT *, ts_ns // {DAY} AS w, COUNT(*) OVER (PARTITION BY ts_ns // {DAY}) / 250.0::DOUBLE AS used, ROW_NUMBER() OVER (PARTITION BY ts_ns // {DAY} ORDER BY ts_ns, dp_id) AS nth FROM dp) SELECT dp_id, CASE WHEN nth <= 250 THEN 'passed' WHEN used * 100 >= 130 THEN 'drop' ELSE 'log' END AS action FROM k WHERE nth <= 250 OR used * 100 < 130",
+)(lambda s, d: (lambda l: A.act(A.admit(event_points(s, d), l), l).select("dp_id", L.get(M(), "action").alias("action")))(_limit(max_rate=250, action="log", tiers=((130, "drop"),))))
+Q(
+    "lim_act_adaptive",
+    DP + f", g AS (SELECT ts_ns // {DAY} AS w, service, COUNT(*) AS n FROM dp GROUP BY 1, 2), o AS (SELECT *, COALESCE(SUM(n) OVER (PARTITION BY w ORDER BY n DESC, service ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, SUM(n) OVER (PARTITION BY w) - 120 AS x FROM g) SELECT dp_id FROM dp JOIN o ON o.w = ts_ns // {DAY} AND o.service = dp.service WHERE NOT (x > 0 AND before < x)",
+)(lambda s, d: (lambda l: A.act(A.admit(event_points(s, d), l), l).select("dp_id"))(_limit(max_rate=120, group_by=("service.name",), action="adaptive")))
 Q("lim_greedy")(lambda s, d: A.admit_metrics(event_points(s, d).withColumn("metric_id", F.col("rm_id")), _limit(max_rate=150)))
 Q("prw_rate")(lambda s, d: A.prw_rate(event_points(s, d).select("dp_id", (F.col("ts_ns") % 10**10).alias("ts_ns"), "name", (F.col("dp_id") % 3 + 1).alias("n")), [A.Limit("a", "i", max_rate=400), A.Limit("b", "view", max_rate=100)]))
 Q("prw_card", DP + ", f AS (SELECT name || '|' || u || '|' || k AS s, MIN((ts_ns, dp_id)) AS f FROM dp GROUP BY 1), r AS (SELECT s FROM f QUALIFY ROW_NUMBER() OVER (ORDER BY f) <= 500) SELECT dp_id FROM dp WHERE name || '|' || u || '|' || k IN (SELECT s FROM r)")(lambda s, d: A.prw_cardinality(event_points(s, d), 500).select("dp_id"))

@@ -126,7 +126,7 @@ Q("smp_head", DP + "SELECT dp_id FROM (SELECT dp_id, ROW_NUMBER() OVER (ORDER BY
 Q("smp_prob")(lambda s, d: S.probabilistic(event_points(s, d), 0.2).select("dp_id"))
 _FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(1, strlen(s) + 1), lambda i: ascii(substr(s, i::INT, 1))::BIGINT)), lambda h, b: (xor(h, b) * 16777619) % 4294967296)"
 Q("smp_hash", DP + f", k AS (SELECT dp_id, {_KEY} AS s FROM dp) SELECT dp_id FROM k WHERE {_FNV} % 10000 < 4000")(lambda s, d: S.by_series(_series(s, d), 0.4).select("dp_id"))
-Q("smp_reservoir", DP + "SELECT name, ROUND(quantile_cont(value, 0.9), 6) AS p90 FROM dp GROUP BY 1")(lambda s, d: S.reservoir(event_points(s, d), ["name"], 10_000_000).groupBy("name").agg(F.round(F.percentile("value", 0.9), 6).alias("p90")))
+Q("smp_reservoir")(lambda s, d: S.reservoir(event_points(s, d), ["name"], 50).select("dp_id", "name"))
 
 # -- statistics ------------------------------------------------------------------------------------------
 
@@ -143,7 +143,7 @@ Q("snk_metrics", DP + f", m AS (SELECT name, COUNT(*) AS n, COUNT(DISTINCT {_SER
 Q("card_exact", DP + f"SELECT COUNT(DISTINCT name || '|' || {_SER}) AS cardinality FROM dp")(lambda s, d: event_points(s, d).agg(F.count_distinct("name", T.stat_series()).alias("cardinality")))
 Q("card_bloom", DP + f", f AS (SELECT name, {_SER} AS s, MIN(batch_id) AS batch_id FROM dp GROUP BY 1, 2) SELECT name, batch_id, COUNT(*) AS new_series FROM f GROUP BY 1, 2")(lambda s, d: T.bloom_inserts(event_points(s, d)))
 Q("card_hll")(lambda s, d: T.sketched(event_points(s, d)))
-Q("card_hybrid", DP + f"SELECT name, COUNT(DISTINCT {_SER}) AS cardinality, 'exact' AS mode FROM dp GROUP BY 1")(lambda s, d: T.hybrid(event_points(s, d), 10_000_000))
+Q("card_hybrid")(lambda s, d: T.hybrid(event_points(s, d), 155))
 Q("card_persist")(lambda s, d: T.merged(T.stored_sketches(event_points(s, d), DAY)))
 
 

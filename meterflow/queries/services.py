@@ -96,10 +96,11 @@ Q("ex_shardkey", DP + "SELECT dp_id, name || CASE WHEN k <> '' THEN '|k=' || k E
 _RING = X.Ring([f"endpoint-{i}" for i in range(3)])
 Q("ex_ring")(lambda s, d: X.with_owner(event_points(s, d), ["user"], _RING).groupBy("shard_key", "endpoint").agg(F.count(F.lit(1)).alias("n")))
 Q("ex_split")(lambda s, d: X.with_owner(event_points(s, d), ["user", "k"], _RING).select("dp_id", "batch_id", "endpoint"))
-Q("ex_prw_split", DP + "SELECT e.endpoint, n.name FROM (SELECT unnest(['endpoint-0', 'endpoint-1', 'endpoint-2']) AS endpoint) e, (SELECT DISTINCT name FROM dp) n")(
-    lambda s, d: X.with_owner(event_points(s, d), ["user"], _RING).select("endpoint").distinct().groupBy().agg(F.collect_set("endpoint").alias("e")).select(F.explode("e").alias("endpoint")).join(event_points(s, d).select("name").distinct())
+_SHARD = "name || CASE WHEN u <> '' THEN '|user=' || u ELSE '' END"
+Q("ex_prw_split", DP + f"SELECT 'series' AS part, {_SHARD} AS what, COUNT(*) AS n, 1::BIGINT AS endpoints FROM dp GROUP BY 1, 2 UNION ALL SELECT 'metadata', name, COUNT(*), 3 FROM dp GROUP BY 1, 2")(
+    lambda s, d: X.split_request(event_points(s, d), ["user"], _RING).groupBy("part", "what").agg(F.count_distinct("dp_id").alias("n"), F.count_distinct("endpoint").alias("endpoints"))
 )
-Q("snk_sharded", DP + "SELECT COUNT(*) AS n FROM dp")(lambda s, d: X.with_owner(event_points(s, d), ["user"], _RING).groupBy("endpoint").agg(F.count(F.lit(1)).alias("c")).agg(F.sum("c").alias("n")))
+Q("snk_sharded", DP + f"SELECT {_SHARD} AS shard_key, COUNT(*) AS n, 1::BIGINT AS endpoints FROM dp GROUP BY 1")(lambda s, d: X.with_owner(event_points(s, d), ["user"], _RING).groupBy("shard_key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("endpoint").alias("endpoints")))
 Q("bt_count", DP + "SELECT dp_id, ((ROW_NUMBER() OVER (ORDER BY ts_ns, dp_id) - 1) // 512)::BIGINT AS batch FROM dp")(lambda s, d: X.by_count(event_points(s, d), 512, ["ts_ns", "dp_id"]).select("dp_id", "batch"))
 Q("bt_bytes")(lambda s, d: X.by_bytes(event_points(s, d).withColumn("bytes", F.octet_length(L.canonical(M())) + 16), "batch_id", "dp_id", "bytes", 600))
 Q("bt_capacity", DP + ", b AS (SELECT *, LENGTH(u) + LENGTH(k) AS bytes FROM dp), r AS (SELECT *, SUM(bytes) OVER (PARTITION BY service ORDER BY ts_ns DESC, dp_id DESC ROWS UNBOUNDED PRECEDING) AS c FROM b) SELECT dp_id FROM r WHERE c <= 900")(

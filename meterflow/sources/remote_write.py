@@ -126,6 +126,24 @@ def _snappy_size(data: bytes) -> int:
     raise ValueError("not a snappy block")
 
 
+def _inflated(data: bytes, bits: int, most: int) -> bytes:
+    """All members of a deflated body, most + 1 bytes at the greatest; one that ends early is refused."""
+    out, rest = b"", data
+    while True:
+        d = zlib.decompressobj(wbits=bits)
+        try:
+            out += d.decompress(rest, most + 1 - len(out))
+        except zlib.error as broken:
+            raise ValueError(str(broken)) from broken
+        if len(out) > most:
+            return out
+        if not d.eof:
+            raise ValueError("the body is cut off")
+        rest = d.unused_data
+        if not rest or bits != 31:  # only gzip has members
+            return out
+
+
 def decompress(data: bytes, encoding: str, most: int = 64 << 20) -> bytes:
     """The body of a request; one that grows beyond most is refused before it is held."""
     import pyarrow as pa
@@ -133,13 +151,19 @@ def decompress(data: bytes, encoding: str, most: int = 64 << 20) -> bytes:
     if encoding in ("", "none", "identity"):
         out = data
     elif encoding in ("gzip", "zlib", "deflate"):
-        d = zlib.decompressobj(wbits={"gzip": 31, "zlib": 15, "deflate": -15}[encoding])
-        out = d.decompress(data, most + 1)
+        out = _inflated(data, {"gzip": 31, "zlib": 15, "deflate": -15}[encoding], most)
     elif encoding == "zstd":
         import zstandard
 
-        with zstandard.ZstdDecompressor().stream_reader(data) as r:
+        with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True) as r:
             out = r.read(most + 1)
+        rest = data if len(out) <= most else b"."
+        while len(out) <= most and (rest or not data):  # bounded now: each frame must have its end
+            d = zstandard.ZstdDecompressor().decompressobj()
+            d.decompress(rest)
+            if not d.eof:
+                raise ValueError("the body is cut off")
+            rest = d.unused_data
     elif encoding == "snappy":
         if (size := _snappy_size(data)) > most:
             raise ValueError("the body is too long")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterflow.functions import labels as L
-from meterflow.operators.downsample import SwingingDoor, series_key
+from meterflow.operators.downsample import Door, closing, corridor, series_key
 
 
 def windowed_aggregate(points: DataFrame, interval: str, group_by: list[str], late: str = "10 minutes") -> DataFrame:
@@ -35,25 +35,25 @@ def swinging_door(points: DataFrame, deviation: float, stale_ms: int = 600_000)
     A series without rows for stale_ms of processing time gives its last point and is forgotten.
     """
 
+    def unpacked(kept) -> Door:
+        ats, av, sts, sv, steepest, flattest = kept
+        return Door((ats, av), (sts, sv), steepest, flattest)
+
     def run(key, parts, state):
         import pandas as pd
 
         if state.hasTimedOut:
-            ats, av, hts, hv, *_ = state.get
+            out = closing(unpacked(state.get))
             state.remove()
-            yield pd.DataFrame({"series": [key[0]] * (hts != ats), "ts_ns": [hts] * (hts != ats), "value": [hv] * (hts != ats)})
+            yield pd.DataFrame({"series": [key[0]] * len(out), "ts_ns": [t for t, _ in out], "value": [v for _, v in out]})
             return
-        door = SwingingDoor(deviation)
-        if state.exists:
-            ats, av, hts, hv, door.high, door.low = state.get
-            door.anchor, door.held = (ats, av), (hts, hv)
         rows = pd.concat(list(parts)).sort_values(["ts_ns", "dp_id"])
-        out = [p for t, v in zip(rows["ts_ns"].tolist(), rows["value"].tolist()) for p in door.add(t, v)]
-        state.update((*door.anchor, *door.held, door.high, door.low))
+        out, door = corridor(rows["ts_ns"], rows["value"], deviation, unpacked(state.get) if state.exists else None)
+        state.update((*door.anchor, *door.seen, door.steepest, door.flattest))
         state.setTimeoutDuration(stale_ms)
         yield pd.DataFrame({"series": [key[0]] * len(out), "ts_ns": [t for t, _ in out], "value": [v for _, v in out]})
 
     rows = points.select(series_key().alias("series"), "ts_ns", "dp_id", "value")
     return rows.groupBy("series").applyInPandasWithState(
-        run, "series string, ts_ns long, value double", "ats long, av double, hts long, hv double, high double, low double", "append", "ProcessingTimeTimeout"
+        run, "series string, ts_ns long, value double", "ats long, av double, sts long, sv double, steepest double, flattest double", "append", "ProcessingTimeTimeout"
     )

@@ -14,16 +14,21 @@ from meterflow.operators import control as C
 from meterflow.operators import downsample as D
 from meterflow.operators import exchange as X
 from meterflow.operators import limits as A
+from meterflow.operators import stats as T
 from meterflow.operators.sampling import numbered, probabilistic
 from meterflow.plans import rules as R
+from meterflow.queries import QUERIES as Q
 from meterflow.sources import remote_write as W
 
 
 def door(values, deviation):
-    d, out = D.SwingingDoor(deviation), []
+    d, out = None, []
     for i, v in enumerate(values):
-        out.append(d.add((i + 1) * 10**9, v))
-    return out, d.end()
+        got, d = D.corridor([(i + 1) * 10**9], [v], deviation, d)
+        out.append(got)
+    whole, end = D.corridor([(i + 1) * 10**9 for i in range(len(values))], values, deviation)
+    assert whole == [p for x in out for p in x] and end == d
+    return out, D.closing(d)
 
 
 def test_swinging_door_step_and_drift():
@@ -34,9 +39,21 @@ def test_swinging_door_step_and_drift():
 
 
 def test_swinging_door_ignores_late_points():
-    d = D.SwingingDoor(1.0)
-    d.add(100, 1.0)
-    assert d.add(50, 9.0) == [] and d.add(100, 9.0) == []
+    _, d = D.corridor([100], [1.0], 1.0)
+    assert D.corridor([50], [9.0], 1.0, d) == ([], d) and D.corridor([100], [9.0], 1.0, d) == ([], d)
+
+
+@given(st.lists(st.integers(-50, 50), min_size=1, max_size=300), st.sampled_from([0.5, 3.0, 20.0]))
+@settings(max_examples=40, deadline=None)
+def test_corridor_holds_every_point(values, deviation):
+    """Between two points emitted, a line from the first lies within the deviation of all points."""
+    out, door = D.corridor(range(len(values)), values, deviation)
+    kept = [t for t, _ in out + D.closing(door)]
+    assert kept[0] == 0 and kept[-1] == len(values) - 1
+    for a, b in zip(kept, kept[1:]):
+        low = max(((values[t] - values[a] - deviation) / (t - a) for t in range(a + 1, b + 1)), default=0)
+        high = min(((values[t] - values[a] + deviation) / (t - a) for t in range(a + 1, b + 1)), default=0)
+        assert low <= high
 
 
 def test_largest_triangles_keep_a_spike():
@@ -117,6 +134,19 @@ def test_compression_round_trip_and_limit(encoding):
         W.decompress(packed, encoding, 100)
 
 
+@pytest.mark.parametrize("encoding", ["gzip", "zlib", "deflate", "zstd"])
+def test_cut_and_empty_bodies_are_refused(encoding):
+    packed = W.compress(bytes(range(256)) * 20, encoding)
+    for part in (packed[: len(packed) // 2], packed[:-1], b""):
+        with pytest.raises(ValueError):
+            W.decompress(part, encoding)
+
+
+@pytest.mark.parametrize("encoding", ["gzip", "zstd"])
+def test_members_of_a_body_follow_each_other(encoding):
+    assert W.decompress(W.compress(b"one ", encoding) + W.compress(b"two", encoding), encoding) == b"one two"
+
+
 def test_truncated_request_is_refused():
     data = W.encode_request([([("a", "b")], [(1.0, 2)])])
     with pytest.raises(ValueError):
@@ -136,7 +166,7 @@ def test_fnv_of_known_strings(spark):
         assert r.b == str(plain(r.t, 14695981039346656037, 1099511628211, 64))
 
 
-@pytest.mark.parametrize("operation,operand,value,want", [("add", 10, "5", "15"), ("sub", 3, "10", "7"), ("mul", 3, "4", "12"), ("div", 2, "10", "5"), ("mod", 3, "10", "1"), ("div", 0, "10", None), ("add", 1, "x", None), ("div", 8, "1", "0.125"), ("mul", 1e20, "10", "1" + "0" * 21), ("add", 1, " 5", None)])
+@pytest.mark.parametrize("operation,operand,value,want", [("add", 10, "5", "15"), ("sub", 3, "10", "7"), ("mul", 3, "4", "12"), ("div", 2, "10", "5"), ("mod", 3, "10", "1"), ("div", 0, "10", None), ("add", 1, "x", None), ("div", 8, "1", "0.125"), ("mul", 1e20, "10", "1" + "0" * 21), ("add", 1, " 5", None), ("div", 3, "1", "0.3333333333333333"), ("mul", 1, "1e-13", "0.0000000000001"), ("mul", 1, "1e40", "1" + "0" * 40), ("add", 0, "-12.50", "-12.5"), ("add", 0, "0", "0"), ("mul", 1e300, "1e300", "+Inf"), ("add", 0, "123456789012345678901234567.5", "123456789012345680000000000")])
 def test_math(spark, operation, operand, value, want):
     row = spark.createDataFrame([({"a": value},)], "labels map<string,string>").select(L.tf_math(F.col("labels"), "a", "r", operation, operand).alias("m")).first()
     assert row.m.get("r") == want
@@ -230,3 +260,45 @@ def test_reservoir_and_approximate_quantiles(spark, small):
     spec = {"name": "r", "action": "aggregate", "input": "click", "interval": "30d", "functions": ["quantiles(0.5)"], "drop_labels": ["user", "k"]}
     exact, near = (aggregate(p, R.rule(spec | {"options": {"approximate": a}})).first().value for a in (False, True))
     assert abs(exact - near) <= 0.1 * exact
+
+
+def test_ring_and_owner_agree(spark, small):
+    """Each row of ex_ring and ex_split has the endpoint that the ring gives its key, and no row is lost."""
+    ring = X.Ring([f"endpoint-{i}" for i in range(3)])
+    points = event_points(spark, small)
+    got = Q["ex_ring"](spark, small).collect()
+    assert all(r.endpoint == ring.owner(r.shard_key) for r in got) and sum(r.n for r in got) == points.count()
+    keys = {r.dp_id: r.shard_key for r in points.select("dp_id", X.shard_key(["user", "k"]).alias("shard_key")).collect()}
+    split = Q["ex_split"](spark, small).collect()
+    assert {r.dp_id: r.endpoint for r in split} == {k: ring.owner(v) for k, v in keys.items()}
+
+
+def test_hybrid_on_both_sides_of_its_threshold(spark, small):
+    exact = {r.name: r.c for r in event_points(spark, small).groupBy("name").agg(F.count_distinct(T.stat_series()).alias("c")).collect()}
+    middle = sorted(exact.values())[len(exact) // 2]
+    got = T.hybrid(event_points(spark, small), middle).collect()
+    assert {r.mode for r in got} == {"exact", "hll"} and len(got) == len(exact)
+    for r in got:
+        assert r["mode"] == ("exact" if exact[r.name] <= middle else "hll")
+        assert r.cardinality == exact[r.name] if r["mode"] == "exact" else abs(r.cardinality - exact[r.name]) <= 0.05 * exact[r.name]
+
+
+def test_sketches_estimate(spark, small):
+    exact = {r.name: r.c for r in event_points(spark, small).groupBy("name").agg(F.count_distinct(T.stat_series()).alias("c")).collect()}
+    for name in ("card_hll", "card_persist"):
+        got = {r.name: r.estimate for r in Q[name](spark, small).select("name", "estimate").collect()}
+        assert set(got) == set(exact) and all(abs(got[k] - exact[k]) <= 0.05 * exact[k] for k in exact)
+
+
+def test_reservoir_keeps_its_cap(spark, small):
+    n = {r.name: r["count"] for r in event_points(spark, small).groupBy("name").count().collect()}
+    got = Q["smp_reservoir"](spark, small)
+    assert {r.name: r["count"] for r in got.groupBy("name").count().collect()} == {k: min(50, v) for k, v in n.items()}
+    assert got.distinct().count() == got.count() and got.join(event_points(spark, small), ["dp_id", "name"], "left_anti").isEmpty()
+
+
+@pytest.mark.parametrize("action", ["dorp", ""])
+def test_unknown_actions_are_refused(action):
+    for wrong in ({"action": action}, {"tiers": ((80, action),)}):
+        with pytest.raises(ValueError):
+            A.Limit("x", **wrong)
