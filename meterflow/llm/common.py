@@ -24,11 +24,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests on one machine) a temporary one."""
+    """The folder in spark.checkpoint.dir; where that is unset and all tasks run in one process (tests), a temporary one."""
     global _own_folder
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="meterflow-")
         spark.sparkContext.setCheckpointDir(_own_folder)

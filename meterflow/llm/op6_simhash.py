@@ -98,6 +98,7 @@ def near_duplicates(docs: DataFrame, distance: int = 2, width: int = 3) -> DataF
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of operator 6: three-word shingles, links at two bits or fewer."""
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 

@@ -291,6 +291,7 @@ def remove_repeated_windows(docs: DataFrame, width: int = 20, with_text: bool =
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of operator 7: windows of 20 words that also start earlier."""
     return remove_repeated_windows(read(spark, sf_dir, "documents"))
 
 

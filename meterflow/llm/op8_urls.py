@@ -33,10 +33,21 @@ def rule_of(host: Column, path: Column, rules) -> tuple[Column, Column]:
 
 
 def _grams(rows: DataFrame, order: int, *keep: str) -> DataFrame:
-    """A row for each character of a url: gram, that character after the order characters before it."""
-    padded = F.concat(F.lit(START * order), F.coalesce("url", F.lit("")), F.lit(END))
-    at = F.explode(F.sequence(F.lit(1), F.length("_p") - order))
-    return rows.withColumn("_p", padded).select(*keep, "_p", at.alias("_i")).select(*keep, F.col("_p").substr(F.col("_i"), F.lit(order + 1)).alias("gram"))
+    """A row for each character of a url: gram, that character after the order characters before it.
+
+    Grams are made from an array of characters, in time linear in the url; rows carry keep and no url.
+    """
+    chars = F.split(F.concat(F.lit(START * order), F.coalesce("url", F.lit("")), F.lit(END)), "")
+    n, grams = F.size(chars), chars
+    for j in range(1, order + 1):
+        grams = F.zip_with(grams, F.slice(chars, F.lit(j + 1), n), lambda x, y: F.concat(x, y))
+    return rows.select(*keep, F.explode(F.slice(grams, F.lit(1), n - order)).alias("gram"))
+
+
+def _dealt(rows: DataFrame, each: int = 1 << 20) -> DataFrame:
+    """rows with about each characters a task: adaptive execution can't see that a url becomes a row for each character."""
+    total = rows.agg(F.sum(F.length("url"))).first()[0] or 0
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // each)), F.xxhash64("url"))
 
 
 def gram_counts(labelled: DataFrame, order: int) -> DataFrame:
@@ -84,27 +95,29 @@ def filter_urls(pages: DataFrame, rules=RULES, order: int = 3, pseudo: float = 2
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     base = cut(base.withColumn("rule", rule).withColumn("_says", verdict), "urls")
 
-    texts = base.groupBy("url", "_says").agg(F.count(F.lit(1)).alias("_n"))
+    # A number stands for each url, so that its grams don't each carry all of it.
+    texts = cut(base.groupBy("url", "_says").agg(F.count(F.lit(1)).alias("_n")).withColumn("_u", F.monotonically_increasing_id()), "urls-texts")
     held = F.pmod(F.xxhash64(F.lit(5), "url"), F.lit(5)) == 0
     labelled = base.where(F.col("_says").isNotNull() & ~held).select("url", F.when(F.col("_says") == "allow", "a").otherwise("r").alias("side"))
     counts = cut(gram_counts(labelled, order), "urls-counts")
-    scored = texts.where(F.col("_says").isNull() | held)
-    each = cut(_grams(scored, order, "url", "_says").groupBy("url", "_says", "gram").agg(F.count(F.lit(1)).alias("_n")), "urls-grams")
+    scored = _dealt(texts.where(F.col("_says").isNull() | held))
+    each = cut(_grams(scored, order, "_u", "_says").groupBy("_u", "_says", "gram").agg(F.count(F.lit(1)).alias("_n")), "urls-grams")
     ratios = cut(log_ratios(counts, each.select("gram").distinct(), order, pseudo, alphabet), "urls-ratios")
-    score = each.join(ratios, "gram").groupBy("url", "_says").agg((F.sum(F.col("ratio") * F.col("_n")) / F.sum("_n")).alias("score"))
+    score = each.join(ratios, "gram").groupBy("_u", "_says").agg((F.sum(F.col("ratio") * F.col("_n")) / F.sum("_n")).alias("score"))
     score = cut(score, "urls-score")
     m = score.where(F.col("_says").isNotNull()).groupBy("_says").agg(F.avg("score").alias("m"), F.coalesce(F.stddev_pop("score"), F.lit(0.0)).alias("s"))
     side = lambda what, c: F.max(F.when(F.col("_says") == what, F.col(c)))
     got = m.agg(side("allow", "m").alias("ma"), side("block", "m").alias("mr"), side("allow", "s").alias("sa"), side("block", "s").alias("sr"))
     cut_at = F.coalesce((F.col("ma") * (F.col("sr") + 1e-6) + F.col("mr") * (F.col("sa") + 1e-6)) / (F.col("sa") + F.col("sr") + 2e-6), F.lit(0.0))
     threshold = got.select(cut_at.alias("_at"))  # one row
-    free = score.where("_says IS NULL").select(F.col("url").alias("_u"), "score").alias("s")
-    out = base.alias("b").join(free, F.col("b.url").eqNullSafe(F.col("s._u")) & F.col("b._says").isNull(), "left").join(F.broadcast(threshold))
+    free = score.where("_says IS NULL").select("_u", "score").join(texts.select("_u", F.col("url").alias("_url")), "_u").select("_url", "score").alias("s")
+    out = base.alias("b").join(free, F.col("b.url").eqNullSafe(F.col("s._url")) & F.col("b._says").isNull(), "left").join(F.broadcast(threshold))
     by_model = F.when(F.coalesce("score", F.lit(0.0)) >= F.col("_at"), "allow").otherwise("block")
     return out.select("page_id", "host", "path", "rule", F.coalesce("_says", by_model).alias("verdict"), "score", F.col("_at").alias("threshold"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of operator 8: rules, then the ratio of the two character models, over all pages."""
     return filter_urls(read(spark, sf_dir, "pages"))
 
 

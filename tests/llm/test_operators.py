@@ -400,6 +400,19 @@ def test_op8_ratios_equal_a_plain_model(spark):
         assert got[g] == pytest.approx(np.log(p("a", g) / p("r", g)))
 
 
+def test_op8_long_url_costs_linear_rows(spark):
+    """A url of a million characters gives a row for each, and equal grams as a plain loop."""
+    url = "http://a.org/" + "ab" * 500_000
+    df = spark.createDataFrame([(0, url), (1, "é👩x"), (2, None)], "u long, url string")
+    got = o8._grams(df, 3, "u").groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("gram").alias("m")).collect()
+    want = {}
+    for u, text in enumerate((url, "é👩x", None)):
+        p = o8.START * 3 + (text or "") + o8.END
+        grams = [p[i : i + 4] for i in range(len(p) - 3)]
+        want[u] = (len(grams), len(set(grams)))
+    assert {r.u: (r.n, r.m) for r in got} == want
+
+
 # -- 9 ---------------------------------------------------------------------------------------------------
 
 
