@@ -459,7 +459,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False,
     # Lists gathered by text have no proven bound, so they are never broadcast to the texts.
     one = keyed.join(wants.hint("merge"), ["_d", "_h"]).select("text", "w")
     bytes_ = one.mapInArrow(_contexts(least, reach, GROUP), "g long, h long, c long, base int, k int, several boolean, bytes binary")
-    marks = bytes_.repartition(buckets, F.pmod("g", F.lit(buckets))).groupBy(F.pmod("g", F.lit(buckets)).alias("_b"))
+    bucket = F.pmod("g", F.lit(8 * buckets))  # several a task, so that tasks are alike
+    marks = bytes_.repartition(buckets, bucket).groupBy(bucket.alias("_b"))
     marks = cut(marks.applyInArrow(_sorted_groups(least, reach), "h long, c long, base int, short binary, long binary"), "suffix-marks")
     drop(wants)
     release(spark)
