@@ -296,7 +296,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, recall: float = 0.98,
     links of each point and a spanning forest of them, never the pairs of a group.
 
     Null label; null or zero vector; null or non-finite components: no links, a component of its own,
-    kept. Vectors of different length don't meet. Repeated rows are copies. Other columns are not read.
+    kept. Null vec_id: no links, component_id null, kept. Vectors of different length don't meet. Repeated rows are copies. Other columns are not read.
     """
     v = F.transform(F.col("embedding"), lambda x: x.cast("double"))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), v.alias("v"))

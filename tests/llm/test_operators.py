@@ -509,3 +509,9 @@ def test_empty_tables(none, spark):
     assert o7.remove_repeated_windows(none).count() == 0
     assert o8.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
     assert o9.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_vectors_of_null_ids_link_with_nothing(spark):
+    df = spark.createDataFrame([(None, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (4, [1.0, 0.0], 1), (3, [1.0, 0.1], 1)], "vec_id long, embedding array<float>, label int")
+    got = Counter(map(tuple, o9.near_vectors(df).select("vec_id", "n_links", "component_id", "kept").collect()))
+    assert got == Counter({(None, 0, None, True): 2, (3, 1, 3, True): 1, (4, 1, 3, False): 1})
