@@ -38,8 +38,8 @@ def series() -> Column:
 
 
 def quota_table(df: DataFrame, quotas: DataFrame, default: int) -> DataFrame:
-    """df with max_datapoints of its tenant; quotas: tenant, max_datapoints (one row a configured tenant)."""
-    return df.join(F.broadcast(quotas), "tenant", "left").withColumn("max_datapoints", F.coalesce("max_datapoints", F.lit(default)))
+    """df with max_datapoints of its tenant; quotas: tenant, max_datapoints (one row a configured tenant, as many as there are)."""
+    return df.join(quotas, "tenant", "left").withColumn("max_datapoints", F.coalesce("max_datapoints", F.lit(default)))
 
 
 def batches(points: DataFrame, width_ns: int, with_series: bool = False) -> DataFrame:
