@@ -15,6 +15,7 @@ from meterflow.operators import downsample as D
 from meterflow.operators import exchange as X
 from meterflow.operators import limits as A
 from meterflow.operators import stats as T
+from meterflow.operators import tenant as N
 from meterflow.operators.sampling import numbered, probabilistic
 from meterflow.plans import rules as R
 from meterflow.queries import QUERIES as Q
@@ -302,3 +303,27 @@ def test_unknown_actions_are_refused(action):
     for wrong in ({"action": action}, {"tiers": ((80, action),)}):
         with pytest.raises(ValueError):
             A.Limit("x", **wrong)
+
+
+@pytest.mark.parametrize(
+    ("how", "dropped"),
+    [
+        ({"most": 10}, {3}),
+        ({"most": 6, "by": ["tenant"]}, {3, 5}),
+        ({"most": 6, "action": "log"}, set()),
+        ({"most": 8, "action": "adaptive", "weak": {"b"}}, {2}),
+        ({"most": 0, "most_series": 2}, {3}),
+    ],
+)
+def test_quotas_drop_whole_batches(spark, how, dropped):
+    rows = [(0, "a", 1, 1, 5, ["x"]), (0, "b", 2, 2, 4, ["y"]), (0, "a", 3, 3, 2, ["x", "z"]), (0, "b", 4, 4, 1, ["y"]), (10, "a", 5, 11, 9, ["q"])]
+    parts = spark.createDataFrame(rows, "w long, tenant string, batch_id long, ts_ns long, n long, series array<string>")
+    got = N.quota(parts, **how).collect()
+    assert len(got) == len(rows) and {r.batch_id for r in got if not r.kept} == dropped
+
+
+def test_earlier_rules_stay_charged_when_a_later_one_refuses(spark):
+    rows = [(1, 0, "cpu", 4), (2, 1, "cpu", 2), (3, 2, "mem", 4), (4, 3, "mem", 1), (5, 10**9, "cpu", 5)]
+    series = spark.createDataFrame(rows, "dp_id long, ts_ns long, name string, n long")
+    got = A.prw_rate(series, [A.Limit("all", ".*", max_rate=10), A.Limit("cpu", "^cpu", max_rate=5)]).collect()
+    assert {r.dp_id for r in got if r.kept} == {1, 3, 5} and len(got) == len(rows)
