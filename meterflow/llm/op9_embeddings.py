@@ -1,18 +1,22 @@
-"""Embedding near-dedup: navigable small-world graphs per shard, audited beams, verified cosine, components."""
+"""Embedding near-dedup: a navigable small-world graph leads each vector to cells, an audited margin, verified cosine, components."""
 
 from __future__ import annotations
 
-import pickle
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterflow.llm.common import cut, read
+from meterflow.llm.common import cut, drop, read, release
 from meterflow.llm.graph import components
 
-#: Distinct vectors of a shard, about.
-SHARD = 8192
+#: Distinct vectors at home in a cell, about. Labels of no more are one cell.
+SHARD = 4096
+#: Rows of a cell that one task takes; larger cells are dealt to tasks by pairs of such chunks.
+CHUNK = 32768
+#: Centres are drawn from so many vectors a cell; one as near as TOO_NEAR to an earlier centre is none.
+DRAWN, TOO_NEAR = 4, 0.8
+#: All probes of the audit together, at most about; and the share of pairs at the very threshold that the margin must find.
+PROBES, AT_THRESHOLD = 32_768, 0.95
 
 
 class Hnsw:
@@ -132,52 +136,38 @@ class Hnsw:
                 every = np.concatenate([old, add], axis=1)
                 self.links[k][w] = self._choose(w, every, self._sims(self.v[w], every), most)
 
-    def within(self, q: np.ndarray, least: float, width: int, batch: int = 128):
-        """(query, point) pairs of cosine >= least: a beam finds the place, then widens over all links it holds.
+    def near(self, q: np.ndarray, margin: float, width: int = 16, batch: int = 1024):
+        """For each q the points whose cosines lie within margin of the best that a beam finds: ids (-1: none), best first, and cosines.
 
-        A beam whose members are links may have cut others off, so each link found is expanded as well,
-        until no new one appears.
+        Beams widen while they are full of such points.
         """
-        out_q, out_p = [], []
+        found = []
         for a in range(0, len(q), batch):
             part = q[a : a + batch]
-            start = np.full((len(part), 1), self.entry, np.int64)
+            top = np.full((len(part), 1), self.entry, np.int64)
             for k in range(self.top, 0, -1):
-                start = self.beam(part, start, k, 4)[0]
-            seen = np.zeros((len(part), len(self.v)), bool)
-            ids, sims = self.beam(part, start, 0, width, seen)
-            r, c = np.nonzero(sims >= least)
-            fq, fp = r, ids[r, c]
-            # What the beam saw and dropped is seen, not lost: links beyond its width are found again here.
-            full = np.flatnonzero(sims[:, -1] >= least)
-            if len(full):
-                seen[full] = False
-                keep = np.isin(r, full)
-                seen[r[keep], ids[r[keep], c[keep]]] = True
-            while len(fq):
-                out_q.append(fq + a)
-                out_p.append(fp)
-                nq, np_ = [], []
-                todo = np.isin(fq, full) if len(full) else np.zeros(len(fq), bool)
-                fq, fp = fq[todo], fp[todo]
-                for s in range(0, len(fq), 4096):
-                    x, y = fq[s : s + 4096], fp[s : s + 4096]
-                    nb = self.links[0][y].astype(np.int64)
-                    fresh = (nb >= 0) & ~seen[x[:, None], nb]
-                    i, j = np.nonzero(fresh)
-                    pair = np.unique(x[i] * len(self.v) + nb[i, j])
-                    i, j = pair // len(self.v), pair % len(self.v)
-                    seen[i, j] = True
-                    near = np.einsum("ij,ij->i", part[i], self.v[j]) >= least
-                    nq.append(i[near])
-                    np_.append(j[near])
-                fq, fp = (np.concatenate(nq), np.concatenate(np_)) if nq else (fq, fp)
-        if not out_q:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(out_q), np.concatenate(out_p)
+                top = self.beam(part, top, k, 4)[0]
+            w = min(width, len(self.v))
+            ids, sims = self.beam(part, top, 0, w)
+            while w < len(self.v):
+                full = np.flatnonzero(sims[:, -1] >= sims[:, 0] - margin)
+                if not len(full):
+                    break
+                w = min(2 * w, len(self.v))
+                wide, far = np.full((len(part), w), -1, np.int64), np.full((len(part), w), -2.0, np.float32)
+                wide[:, : ids.shape[1]], far[:, : sims.shape[1]] = ids, sims
+                wide[full], far[full] = self.beam(part[full], top[full], 0, w)
+                ids, sims = wide, far
+            ids[sims < sims[:, :1] - margin] = -1
+            found.append((ids, sims))
+        wide = max((i.shape[1] for i, _ in found), default=1)
+        pad = lambda x, none: np.pad(x, ((0, 0), (0, wide - x.shape[1])), constant_values=none)
+        ids = np.concatenate([np.zeros((0, wide), np.int64), *[pad(i, -1) for i, _ in found]])
+        return ids, np.concatenate([np.zeros((0, wide), np.float32), *[pad(s, -2) for _, s in found]])
 
 
 def _units(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -189,135 +179,259 @@ def _matrix(column) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _build(least: float, recall: float, audits: int):
-    """One shard's graph, with a beam widened until an audit against brute force finds enough links."""
+def _centres(units: np.ndarray, most: int) -> np.ndarray:
+    """The first so many of units that are not too near to one before, so that a group of near vectors has one centre."""
+    chosen = np.zeros((0, units.shape[1]), np.float32)
+    for a in range(0, len(units), 512):
+        part = units[a : a + 512].astype(np.float32)
+        far = (part @ chosen.T).max(axis=1, initial=-2) < TOO_NEAR
+        among = part @ part.T
+        for i in np.flatnonzero(far):
+            if far[i]:
+                far[i + 1 :] &= among[i, i + 1 :] < TOO_NEAR
+        chosen = np.concatenate([chosen, part[far]])
+        if len(chosen) >= most:
+            break
+    return chosen[:most]
 
-    def run(key, table):
+
+def _needs(graph: Hnsw, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The margin from which each x visits the home of its y, or y that of x."""
+    (hx, sx), (hy, sy) = graph.near(x, 0.0), graph.near(y, 0.0)
+    dot = lambda a, home: np.einsum("ij,ij->i", a, graph.v[home[:, 0]])
+    return np.minimum(sx[:, 0] - dot(x, hy), sy[:, 0] - dot(y, hx))
+
+
+def _at_threshold(graph: Hnsw, probes: np.ndarray, least: float) -> float:
+    """The margin that finds AT_THRESHOLD of pairs of cosine least in random directions about probes."""
+    y = np.repeat(probes.astype(np.float64), max(1, 1024 // len(probes)), axis=0)
+    u = np.random.default_rng(3).normal(size=y.shape)
+    u -= (u * y).sum(axis=1, keepdims=True) * y
+    u /= np.maximum(np.sqrt((u * u).sum(axis=1, keepdims=True)), 1e-30)
+    x = least * y + np.sqrt(max(0.0, 1 - least * least)) * u
+    return float(np.quantile(_needs(graph, x.astype(np.float32), y.astype(np.float32)), AT_THRESHOLD))
+
+
+def _audit(routers: dict, least: float):
+    """(rid, probe, bin, k): links of the probes against all vectors by brute force, by the margin that finds them, in thousandths."""
+
+    def run(batches):
         import pyarrow as pa
 
-        units = _units(_matrix(table.column("v").combine_chunks()))
-        graph = Hnsw(units)
-        n = len(units)
-        probe = np.random.default_rng(1).permutation(n)[: min(n, audits)]
-        exact = graph.v[probe] @ graph.v.T >= least
-        exact[np.arange(len(probe)), probe] = False
-        width = 24
-        while True:
-            q, p = graph.within(graph.v[probe], least, width)
-            found = np.zeros_like(exact)
-            found[q, p] = True
-            got = (found & exact).sum() / max(1, exact.sum())
-            if got >= recall or width >= n:
-                break
-            width *= 2
-        blob = pickle.dumps((graph, units, table.column("rep").to_numpy(), table.column("n").to_numpy(), width))
-        return pa.table({"label": table.column("label").slice(0, 1), "dim": table.column("dim").slice(0, 1), "shard": table.column("shard").slice(0, 1), "blob": pa.array([blob], pa.binary()), "recall": pa.array([float(got)])})
+        for batch in batches:
+            rid, rep = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            out = [np.zeros((0, 4), np.int64)]
+            for r in np.unique(rid).tolist():
+                graph, probes, names = routers.value[r]
+                at = np.flatnonzero(rid == r)
+                x = _units(_matrix(batch.column(2).take(pa.array(at)))).astype(np.float32)
+                i, j = np.nonzero(x @ probes.T >= least)
+                other = rep[at[i]] != names[j]
+                i, j = i[other], j[other]
+                if len(i):
+                    bins = np.maximum(np.ceil(_needs(graph, x[i], probes[j]) * 1000), 0).astype(np.int64)
+                    pair, k = np.unique(np.stack([j, bins], axis=1), axis=0, return_counts=True)
+                    out.append(np.column_stack([np.full(len(k), r), pair, k]))
+            got = np.concatenate(out)
+            yield pa.RecordBatch.from_arrays([pa.array(got[:, c], pa.int64()) for c in range(4)], names=["rid", "probe", "bin", "k"])
 
     return run
 
 
-def _linked(graph: Hnsw, own: np.ndarray, asked: np.ndarray, width: int, least: float, out: np.ndarray) -> None:
-    """Set out[point, query] for each pair of cosine >= least that the graph finds, checked in double precision."""
-    for s in range(0, len(asked), 1024):
-        q, p = graph.within(np.ascontiguousarray(asked[s : s + 1024], np.float32), least - 1e-4, width)
-        for t in range(0, len(q), 65536):
-            x, y = q[t : t + 65536] + s, p[t : t + 65536]
-            good = np.einsum("ij,ij->i", asked[x], own[y]) >= least
-            out[y[good], x[good]] = True
-
-
-def _forest(links: np.ndarray, same: bool) -> list[tuple[int, int]]:
-    """Pairs (row, column) of links that join all that links joins, without a cycle. same: columns are the rows."""
-    n, m = links.shape
-    shift = 0 if same else n
-    root = np.arange(n + (0 if same else m))
-    out = []
-    for r in np.flatnonzero(links.any(axis=1)).tolist():
-        c = np.flatnonzero(links[r])
-        at = c + shift
-        while (root[at] != at).any():  # to the roots, all at once
-            at = root[at]
-        at, first = np.unique(at, return_index=True)
-        own = r
-        while root[own] != own:
-            own = root[own]
-        for x, i in zip(at.tolist(), first.tolist()):
-            if x != own:
-                root[x] = own
-                out.append((r, int(c[i])))
-    return out
+def _enough(found: list, recall: float) -> float:
+    """The least margin by which the probes' links are found, on the average over probes. found: (probe, bin, k)."""
+    if not found:
+        return 0.0
+    probe, bins, k = np.array(found, np.int64).T
+    _, probe = np.unique(probe, return_inverse=True)
+    part = k / np.bincount(probe, k)[probe] / (probe.max() + 1)
+    order = np.argsort(bins, kind="stable")
+    enough = np.searchsorted(np.cumsum(part[order]), recall - 1e-9)
+    return float(bins[order][min(enough, len(order) - 1)]) / 1000
+
+
+def _route(routers: dict):
+    """Rows with cells: the home first, then others within the label's margin. Labels without a router: cell 0."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rid = batch.column(batch.num_columns - 1).fill_null(-1).to_numpy(zero_copy_only=False)
+            size, flat, order = np.ones(batch.num_rows, np.int64), [], []
+            for r in np.unique(rid).tolist():
+                at = np.flatnonzero(rid == r)
+                order.append(at)
+                if r < 0:
+                    flat.append(np.zeros(len(at), np.int64))
+                    continue
+                graph, margin = routers.value[r]
+                ids = graph.near(_units(_matrix(batch.column(batch.num_columns - 2).take(pa.array(at)))).astype(np.float32), margin)[0]
+                size[at] = (ids >= 0).sum(axis=1)
+                flat.append(ids[ids >= 0])
+            order = np.concatenate([*order, np.zeros(0, np.int64)])
+            ends = np.concatenate([[0], np.cumsum(size[order])])
+            cells = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*flat, np.zeros(0, np.int64)]), pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], cells.take(pa.array(np.argsort(order)))], names=[*batch.schema.names[:-1], "cells"])
+
+    return run
 
 
 def _search(least: float):
-    """Links between two shards of a label (or within one), each asked by the other: link counts and a spanning forest.
+    """Links of a cell's own vectors to each other and to visitors: link counts and a spanning forest.
 
-    Links stand as one bit matrix of the two shards, which bounds a task; a group of many near vectors
-    leaves a count for each and a tree, not its pairs.
+    A pair that two cells see counts in the lesser of them. Cosines near least are checked in double
+    precision. A group of many near vectors leaves a count for each and a tree, not its pairs.
     """
 
     def run(key, table):
         import pyarrow as pa
 
-        rows: list[tuple] = []
-        for a, b, i, j in zip(table.column("a"), table.column("b"), table.column("i").to_pylist(), table.column("j").to_pylist()):
-            graph, units, rep, n, width = pickle.loads(a.as_py())
-            if i == j:
-                links = np.zeros((len(rep), len(rep)), bool)
-                _linked(graph, units, units, width, least, links)
-                links |= links.T
-                np.fill_diagonal(links, False)
-                other, on = rep, n
-            else:
-                graph2, units2, other, on, width2 = pickle.loads(b.as_py())
-                links = np.zeros((len(rep), len(other)), bool)
-                back = np.zeros((len(other), len(rep)), bool)
-                _linked(graph, units, units2, width, least, links)
-                _linked(graph2, units2, units, width2, least, back)
-                links |= back.T
-            counts = links @ on
-            rows += [(int(rep[x]), None, int(counts[x])) for x in np.flatnonzero(counts)]
-            if i != j:
-                counts = links.T @ n
-                rows += [(int(other[x]), None, int(counts[x])) for x in np.flatnonzero(counts)]
-            rows += [(int(rep[x]), int(other[y]), 0) for x, y in _forest(links, i == j)]
-        cols = list(zip(*rows)) or [(), (), ()]
-        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("a", "b", "k"), cols)})
+        cell, i, j = (key[c].as_py() for c in (2, 3, 4))
+        part = table.column("part").to_numpy()
+        home = table.column("home").to_numpy()
+        own = home == cell
+        left = np.flatnonzero(own & (part == i))
+        right = np.flatnonzero(~own) if i == j else np.flatnonzero(part == j)
+        order = np.concatenate([left, right])
+        m, same = len(left), i == j
+        units = _units(_matrix(table.column("v").combine_chunks()))[order]
+        small = units.astype(np.float32)
+        rep, n, home = table.column("rep").to_numpy()[order], table.column("n").to_numpy()[order], home[order]
+        single = bool((n == 1).all())
+        cells = table.column("cells").combine_chunks()
+        flat, ends = cells.values.to_numpy(), cells.offsets.to_numpy()
+        first = 0 if same else m  # columns: own vectors too, or the right ones only
+        counts, lab, flag, edges = np.zeros(len(order), np.int64), np.arange(len(order)), np.zeros(len(order), bool), []
+        lesser = np.flatnonzero(home < cell)
+        lesser = lesser[lesser >= m]
+        names, which = np.unique(home[lesser], return_inverse=True)
+        for a in range(0, m, 512):
+            b = min(a + 512, m)
+            s = small[a:b] @ small[first:].T
+            near = s >= least - 1e-4
+            if same:
+                near[np.arange(b - a), np.arange(a, b)] = False
+            if not near.any():
+                continue
+            x, y = np.nonzero(near & (s < least + 1e-4))
+            for t in range(0, len(x), 65536):
+                p, q = x[t : t + 65536], y[t : t + 65536]
+                near[p, q] = np.einsum("ij,ij->i", units[a + p], units[first + q]) >= least
+            if len(lesser) and near[:, lesser - first].any():
+                visits = np.zeros((b - a, len(names)), bool)
+                for r in range(a, b):
+                    c = flat[ends[left[r]] : ends[left[r] + 1]]
+                    visits[r - a, np.flatnonzero(np.isin(names, c))] = True
+                near[:, lesser - first] &= ~visits[:, which]
+            for r in np.flatnonzero(near.any(axis=1)).tolist():
+                c = np.flatnonzero(near[r]) + first
+                counts[a + r] += len(c) if single else int(n[c].sum())
+                at = lab[c]
+                new = at != lab[a + r]
+                if new.any():
+                    merged, one = np.unique(at[new], return_index=True)
+                    edges += [(a + r, e) for e in c[new][one].tolist()]
+                    flag[merged] = True
+                    lab[flag[lab]] = lab[a + r]
+                    flag[merged] = False
+            back = near[:, m - first :]
+            for t in range(0, back.shape[0], 64):
+                counts[m:] += n[a + t : a + min(t + 64, b - a)] @ back[t : t + 64]
+        linked = np.flatnonzero(counts)
+        a_ = np.concatenate([rep[linked], rep[[x for x, _ in edges]]]) if edges else rep[linked]
+        b_ = [None] * len(linked) + [int(rep[y]) for _, y in edges]
+        k_ = np.concatenate([counts[linked], np.zeros(len(edges), np.int64)])
+        return pa.table({"a": pa.array(a_, pa.int64()), "b": pa.array(b_, pa.int64()), "k": pa.array(k_, pa.int64())})
 
     return run
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.93, recall: float = 0.98, audits: int = 128, shard: int = SHARD) -> DataFrame:
+def _routers(points: DataFrame, least: float, recall: float, audits: int, shard: int) -> tuple[DataFrame, dict]:
+    """(points with rid, routers): a graph over the centres of each label of more than shard vectors, and its margin."""
+    spark = points.sparkSession
+    large = points.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > shard).orderBy("label", "dim").collect()
+    if not large:
+        return points.withColumn("rid", F.lit(None).cast("long")), {}
+    each = max(16, min(audits, PROBES // len(large)))
+    want = [max(DRAWN * -(-r.m // shard), each) for r in large]
+    kinds = f"label {dict(points.dtypes)['label']}, dim int, rid long, rate double"
+    known = F.broadcast(spark.createDataFrame([(r.label, r.dim, i, min(1.0, 1.2 * w / r.m + 64 / r.m)) for i, (r, w) in enumerate(zip(large, want))], kinds))
+    told = points.join(known, ["label", "dim"], "left")
+    draw = F.pmod(F.xxhash64(F.lit(7), "rep"), F.lit(1 << 40))
+    drawn = told.where(draw < F.col("rate") * (1 << 40)).select("rid", draw.alias("u"), "rep", "v").toArrow()
+    rid, u, rep = (drawn.column(c).to_numpy() for c in range(3))
+    graphs, audit = [], {}
+    for i, r in enumerate(large):
+        at = np.flatnonzero(rid == i)
+        at = at[np.lexsort((rep[at], u[at]))]
+        units = _units(_matrix(drawn.column("v").take(at).combine_chunks()))
+        graphs.append(Hnsw(_centres(units, -(-r.m // shard))))
+        audit[i] = graphs[-1], units[-each:].astype(np.float32), rep[at][-each:]
+    sent = spark.sparkContext.broadcast(audit)
+    found = told.where("rid IS NOT NULL").select("rid", "rep", "v").mapInArrow(_audit(sent, least), "rid long, probe long, bin long, k long")
+    links: dict[int, list] = {}
+    for r in found.groupBy("rid", "probe", "bin").agg(F.sum("k").alias("k")).collect():
+        links.setdefault(r.rid, []).append((r.probe, r.bin, r.k))
+    margins = [max(_enough(links.get(i, []), recall), _at_threshold(g, audit[i][1], least)) + 1e-4 for i, g in enumerate(graphs)]
+    return told.drop("rate"), dict(enumerate(zip(graphs, margins)))
+
+
+def near_vectors(vectors: DataFrame, least: float = 0.93, recall: float = 0.98, audits: int = 256, shard: int = SHARD) -> DataFrame:
     """(vec_id, n_links, component_id, kept): vectors of equal label linked at a cosine of least or more.
 
-    Copies (equal components) are one point that carries their number. The points of a label are dealt
-    to shards by hash, each with a graph of its own; every point asks every shard of its label. Beams
-    widen until an audit of the shard against brute force finds the given share of links, and while
-    they are full of links; pairs found are checked in double precision. A task leaves the number of
-    links of each point and a spanning forest of them, never the pairs of a group.
+    Copies (equal components) are one point that carries their number. A label of more than shard
+    points has centres, drawn from a sample of DRAWN vectors a centre, under a small-world graph. Every
+    point walks it to the cell of its nearest centre, its home, and visits each cell whose centre is as
+    near but for a margin; there it meets all points at home. The margin is the least that finds
+    the given share of the links of `audits` probes, which are compared with all points by brute force, and
+    AT_THRESHOLD of pairs just at the threshold in random directions. Cosines near least are checked in
+    double precision. A task leaves the number of links of each point and a spanning forest of them,
+    never the pairs of a group.
 
     Null label; null or zero vector; null or non-finite components: no links, a component of its own,
     kept. Null vec_id: no links, component_id null, kept. Vectors of different length don't meet. Repeated rows are copies. Other columns are not read.
     """
-    v = F.transform(F.col("embedding"), lambda x: x.cast("double"))
+    spark = vectors.sparkSession
+    v = F.col("embedding") if dict(vectors.dtypes)["embedding"] == "array<float>" else F.transform(F.col("embedding"), lambda x: x.cast("double"))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), v.alias("v"))
     odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & ~odd & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("_good", good)
     points = rows.where("_good").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("dim", F.size("v"))
     points = cut(points, "vectors-points")
-    shards = points.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / shard).cast("long").alias("shards"))
-    dealt_ = points.join(shards, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("rep"), "shards").cast("int"))
-    kind = dict(points.dtypes)["label"]
-    graphs = dealt_.select("label", "dim", "shard", "v", "rep", "n").groupBy("label", "dim", "shard").applyInArrow(_build(least, recall, audits), f"label {kind}, dim int, shard int, blob binary, recall double")
-    graphs = cut(graphs, "vectors-graphs")
-    a = graphs.select("label", "dim", F.col("shard").alias("i"), F.col("blob").alias("a"))
-    b = graphs.select("label", "dim", F.col("shard").alias("j"), F.col("blob").alias("b"))
-    both = a.join(b, ["label", "dim"]).where("i <= j").groupBy("label", "dim", "i", "j")
-    links = cut(both.applyInArrow(_search(least), "a long, b long, k long"), "vectors-links")
+    release(spark)
+    told, routers = _routers(points, least, recall, audits, shard)
+    kind, item = dict(points.dtypes)["label"], dict(points.dtypes)["v"]
+    sent = spark.sparkContext.broadcast(routers)
+    routed = told.select("label", "dim", "rep", "n", "v", "rid").mapInArrow(_route(sent), f"label {kind}, dim int, rep long, n long, v {item}, cells array<int>")
+    routed = cut(routed, "vectors-routed")
+    drop(points)
+
+    keys = ["label", "dim", "cell"]
+    seen = routed.select("label", "dim", F.posexplode("cells").alias("o", "cell"))
+    sizes = seen.groupBy(*keys).agg(F.count_if(F.col("o") == 0).alias("h"), F.count_if(F.col("o") > 0).alias("g"))
+    sizes = cut(sizes, "vectors-cells")
+    total = sizes.agg(F.sum(F.col("h") + F.col("g"))).first()[0] or 0
+    chunks = lambda c: F.ceil(F.col(c) / CHUNK).cast("int")
+    over = F.broadcast(sizes.where(F.col("h") + F.col("g") > CHUNK).select(*keys, F.greatest(chunks("h"), F.lit(1)).alias("hs"), chunks("g").alias("gs")))
+    met = routed.select("label", "dim", "rep", "n", "v", "cells", F.col("cells")[0].alias("home"), F.explode("cells").alias("cell")).join(over, keys, "left")
+    mine, whole = F.col("home") == F.col("cell"), F.col("hs").isNull()
+    deal = F.xxhash64(F.lit(3), "rep")
+    met = met.withColumn("part", F.when(whole, 0).when(mine, F.pmod(deal, "hs")).otherwise(F.col("hs") + F.pmod(deal, F.greatest("gs", F.lit(1)))).cast("int"))
+    tasks = F.when(whole, F.expr("array(struct(0 AS i, 0 AS j))"))
+    tasks = tasks.when(mine, F.expr("transform(sequence(0, hs + gs - 1), x -> struct(least(x, part) AS i, greatest(x, part) AS j))"))
+    tasks = tasks.otherwise(F.expr("transform(sequence(0, hs - 1), x -> struct(x AS i, part AS j))"))
+    met = met.withColumn("t", F.explode(tasks)).select(*keys, "t.i", "t.j", "rep", "n", "v", "home", "cells", "part")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 100_000))
+    by = [*keys, "i", "j"]
+    links = cut(met.repartition(buckets, *by).groupBy(*by).applyInArrow(_search(least), "a long, b long, k long"), "vectors-links")
+    drop(sizes)
+    release(spark)
     found = components(links.where("b IS NOT NULL").select("a", "b"), "vectors-edges")
     degree = links.where("b IS NULL").groupBy(F.col("a").alias("p")).agg(F.sum("k").alias("k"))
-    known = points.join(degree, points["rep"] == degree["p"], "left").join(found, points["rep"] == found["v"], "left")
-    known = known.select(points["label"].alias("_l"), points["v"].alias("_v"), (F.coalesce("k", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    known = routed.join(degree, routed["rep"] == degree["p"], "left").join(found, routed["rep"] == found["v"], "left")
+    known = known.select(routed["label"].alias("_l"), routed["v"].alias("_v"), (F.coalesce("k", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = rows.join(known, F.col("_good") & (rows["label"] == known["_l"]) & (rows["v"] == known["_v"]), "left")
     own = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), own.alias("component_id"), F.col("vec_id").eqNullSafe(own).alias("kept"))
