@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterflow.llm.common import buffers, hash_words, pieces, read, split_words
+from meterflow.llm.common import buffers, cut, drop, hash_words, pieces, read, split_words
 
 _CLASSES = 8  # other, lower, upper, digit, space, mark, sign, bar
 _KIND = np.zeros(256, np.int64)
@@ -24,6 +24,10 @@ _KIND[ord("|")] = 7
 BINS = np.array([0.0, 0.005, 0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.3, 0.45, 0.6, 0.8])
 RATIOS = 11
 FEATURES = RATIOS * (len(BINS) + 1)
+#: Lines that one task learns from; texts of a label that each task gets at least, if there are so many.
+LINES, TEXTS = 60_000, 200
+#: Cells of a unit of the calibration's logits, whose texts count as one with their mean.
+CELLS = 1024
 
 
 def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,10 +107,10 @@ class Chain:
         return e
 
 
-def marginals(e: np.ndarray, lines: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+def marginals(e: np.ndarray, lines: np.ndarray, step: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
     """Forward and backward over all texts at once: p(good) of each line, pair sums, log partition sum, its parts.
 
-    Texts stand by length, so step t works on those that have a line t.
+    weight: of each line in the pair sums, 1 if not given. Texts stand by length, so step t works on those that have a line t.
     """
     size = np.diff(lines)
     order = np.argsort(-size, kind="stable")
@@ -129,31 +133,35 @@ def marginals(e: np.ndarray, lines: np.ndarray, step: np.ndarray) -> tuple[np.nd
         at = start[: alive[t]] + t
         nxt = (psi[at] + b[at])[:, None, :] + step[None]
         b[at - 1] = np.logaddexp(nxt[:, :, 0], nxt[:, :, 1])
-        pair += np.exp(a[at - 1][:, :, None] + nxt - z[at][:, None, None]).sum(axis=0)
+        each = np.exp(a[at - 1][:, :, None] + nxt - z[at][:, None, None])
+        pair += each.sum(axis=0) if weight is None else np.tensordot(weight[at], each, 1)
     p = np.exp(a[:, 1] + b[:, 1] - z)
     return p, pair, float(logz.sum()), logz
 
 
 def train_chain(texts: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, rounds: int = 150, rate: float = 0.08, l2: float = 2e-4) -> Chain:
-    """Adam on the conditional log-likelihood; each line carries the label of its text. texts: line features, sizes."""
+    """Adam on the conditional log-likelihood; each line carries the label of its text. texts: line features, sizes.
+
+    The texts of both labels together weigh the same.
+    """
     lines = np.concatenate([[0], np.cumsum([len(o) for o, _ in texts])])
     own = np.concatenate([o for o, _ in texts])
     y = np.repeat(good, np.diff(lines)).astype(float)
-    weight = np.repeat(1.0 / np.diff(lines), np.diff(lines))  # bookkeeping of the mean only
+    weight = np.repeat(len(good) / 2 / np.maximum(np.bincount(good, minlength=2), 1)[good], np.diff(lines))
     first, last = np.zeros(len(own), bool), np.zeros(len(own), bool)
     first[lines[:-1]] = True
     last[lines[1:] - 1] = True
     inside = ~first
     gold = np.zeros((2, 2))
-    np.add.at(gold, (y[:-1][inside[1:]].astype(int), y[1:][inside[1:]].astype(int)), 1)
+    np.add.at(gold, (y[:-1][inside[1:]].astype(int), y[1:][inside[1:]].astype(int)), weight[1:][inside[1:]])
     theta = np.zeros(3 * FEATURES + 1 + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    n = len(weight)
+    n, total = len(weight), weight.sum()
     flat = own.reshape(-1)
     for k in range(1, rounds + 1):
         chain = Chain(theta[: 3 * FEATURES].reshape(3, FEATURES), theta[3 * FEATURES], theta[-4:].reshape(2, 2))
-        p, pair, _, _ = marginals(chain.emissions(own, lines), lines, chain.step)
-        d = y - p
+        p, pair, _, _ = marginals(chain.emissions(own, lines), lines, chain.step, weight)
+        d = (y - p) * weight
         g = np.zeros_like(theta)
         g[:FEATURES] = np.bincount(flat, np.repeat(d, RATIOS), FEATURES)
         of_prev = np.zeros(n)
@@ -164,7 +172,7 @@ def train_chain(texts: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, ro
         g[2 * FEATURES : 3 * FEATURES] = np.bincount(flat, np.repeat(of_next, RATIOS), FEATURES)
         g[3 * FEATURES] = d.sum()
         g[-4:] = (gold - pair).reshape(-1)
-        g = g / n - l2 * theta
+        g = g / total - l2 * theta
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
         theta = theta + rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
@@ -185,57 +193,98 @@ def _logit(s: np.ndarray) -> np.ndarray:
     return np.log(s / (1 - s))
 
 
-def fit(train: DataFrame, per_label: int = 2000, shares: dict[int, int] | None = None) -> Chain:
-    """A chain learnt from train's columns doc_id, text, quality (0 or 1).
+def _unpacked(own, size) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(own.as_py(), "<i2").astype(np.int64).reshape(-1, RATIOS), np.frombuffer(size.as_py(), "<i8")
 
-    The sample is about per_label texts of each label, chosen by a hash of doc_id; a fifth of it sets the
-    calibration of the text score, weighed back to the labels' shares in all of train (or to the given
-    ones, where train is such a sample). One label only, or no rows: a constant score of that label, 0.5
-    without any.
-    """
-    found = {r["quality"]: r["n"] for r in train.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
-    empty = Chain(np.zeros((3, FEATURES)), 0.0, np.zeros((2, 2)))
-    if set(found) != {0, 1}:
-        empty.scale, empty.shift = 0.0, {0: -4.0, 1: 4.0}.get(next(iter(found), -1), 0.0)
-        return empty
-    u = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1_000_003)) / 1_000_003.0
-    below = F.when(F.col("quality") == 1, min(1.0, per_label / found[1])).otherwise(min(1.0, per_label / found[0]))
 
-    def features(batches):
+def featured(docs: DataFrame) -> DataFrame:
+    """(doc_id, quality, own, size) of docs' columns doc_id, quality, text: features and bytes of the lines of each text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), "text")
+
+    def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            data, offsets = buffers(batch.column(0))
+            data, offsets = buffers(batch.column(2))
             a, b = [], []
             for i, j in pieces(offsets, 4 << 20):
                 own, size, lines = line_features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 a += [own[x:y].astype("<i2").tobytes() for x, y in zip(lines, lines[1:])]
                 b += [size[x:y].astype("<i8").tobytes() for x, y in zip(lines, lines[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), batch.column(1), batch.column(2)], names=["own", "size", "quality", "u"])
-
-    sample = train.withColumn("_u", u).where(F.col("_u") < below).select("text", F.col("quality").cast("int").alias("quality"), F.pmod(F.col("_u") * 977, F.lit(1.0)).alias("u"))
-    got = sorted(map(tuple, sample.mapInArrow(features, "own binary, size binary, quality int, u double").collect()))
-    texts = [(np.frombuffer(o, "<i2").astype(np.int64).reshape(-1, RATIOS), np.frombuffer(s, "<i8")) for o, s, _, _ in got]
-    good, v = np.array([q for _, _, q, _ in got]), np.array([x for *_, x in got])
-    learn = np.flatnonzero(v >= 0.2)
-    if len(set(good[learn].tolist())) < 2:
-        learn = np.arange(len(got))
-    if len(set(good[learn].tolist())) < 2:
-        empty.scale = 0.0
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["doc_id", "quality", "own", "size"])
+
+    return rows.mapInArrow(run, "doc_id long, quality int, own binary, size binary")
+
+
+def _learn(key, table):
+    """The weights of a chain learnt from a task's texts; none if they have one label only."""
+    import pyarrow as pa
+
+    table = table.sort_by([("quality", "ascending"), ("own", "ascending"), ("size", "ascending")])  # reruns agree
+    good = table.column("quality").to_numpy()
+    found = []
+    if len(set(good.tolist())) == 2:
+        chain = train_chain([_unpacked(o, s) for o, s in zip(table.column("own"), table.column("size"))], good)
+        found = [np.concatenate([chain.near.reshape(-1), [chain.bias], chain.step.reshape(-1)]).tolist()]
+    return pa.table({"theta": pa.array(found, pa.list_(pa.float64()))})
+
+
+def fit(train: DataFrame) -> Chain:
+    """A chain learnt from all of train's columns doc_id, text, quality (0 or 1)."""
+    return fit_featured(featured(train))
+
+
+def fit_featured(rows: DataFrame) -> Chain:
+    """A chain learnt from all rows of doc_id, quality and the features of a text.
+
+    Four fifths of the texts, by a hash of doc_id, are dealt to tasks of about LINES lines. Each task learns
+    the weights of its texts, and their mean over the tasks is the chain's. Where a label has fewer than
+    TEXTS texts a task, each is dealt to several. The other fifth, all of it, sets the calibration of the
+    text score. One label only, or no rows: a constant score of that label, 0.5 without any.
+    """
+    spark = rows.sparkSession
+    u = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1_000_003)) / 1_000_003.0
+    rows = cut(rows.withColumn("apart", F.pmod(u * 977, F.lit(1.0)) < 0.2), "quality-lines")
+    found = {(r["quality"], r["apart"]): (r["n"], r["m"]) for r in rows.groupBy("quality", "apart").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("size") / 8).alias("m")).collect()}
+    empty = Chain(np.zeros((3, FEATURES)), 0.0, np.zeros((2, 2)))
+    labels = {q for q, _ in found}
+    if labels != {0, 1}:
+        empty.scale, empty.shift = 0.0, {0: -4.0, 1: 4.0}.get(next(iter(labels), -1), 0.0)
+        drop(rows)
         return empty
-    chain = train_chain([texts[i] for i in learn], good[learn])
-    apart = np.flatnonzero(v < 0.2)
-    if len(set(good[apart].tolist())) < 2:
-        apart = np.arange(len(got))
-    s = np.concatenate([raw_scores(chain, *texts[i], np.array([0, len(texts[i][0])])) for i in apart])
-    x, y = _logit(s), good[apart].astype(float)
-    found = shares or found
-    w = np.where(y == 1, found[1] / max(1, (y == 1).sum()), found[0] / max(1, (y == 0).sum()))
+    sides = [{a} if {(0, a), (1, a)} <= set(found) else {True, False} for a in (False, True)]  # a side without a label: all rows
+    here = [(q, found[q, a]) for q, a in found if a in sides[0]]
+    tasks = int(-(-sum(m for _, (_, m) in here) // LINES))
+    texts = {q: sum(n for p, (n, _) in here if p == q) for q in (0, 1)}
+    times = F.when(F.col("quality") == 1, min(tasks, -(-TEXTS * tasks // texts[1]))).otherwise(min(tasks, -(-TEXTS * tasks // texts[0])))
+    dealt = rows.where(F.col("apart").isin(*sides[0])).withColumn("k", F.explode(F.sequence(F.lit(0), times - 1)))
+    dealt = dealt.select(F.pmod(F.xxhash64(F.lit(13), "doc_id") + F.col("k"), F.lit(tasks)).alias("task"), "quality", "own", "size")
+    thetas = [t for (t,) in sorted(map(tuple, dealt.repartitionByRange(max(tasks, 1), "task").groupBy("task").applyInArrow(_learn, "theta array<double>").collect()))]
+    if not thetas:
+        raise RuntimeError("no task had texts of both labels")
+    theta = np.mean(thetas, axis=0)
+    chain = Chain(theta[: 3 * FEATURES].reshape(3, FEATURES), float(theta[3 * FEATURES]), theta[-4:].reshape(2, 2))
+    sent = spark.sparkContext.broadcast(chain)
+
+    def logits(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            x = [float(_logit(raw_scores(sent.value, *text, np.array([0, len(text[0])])))[0]) for text in map(_unpacked, batch.column(1), batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.float64())], names=["quality", "x"])
+
+    scored = rows.where(F.col("apart").isin(*sides[1])).select("quality", "own", "size").mapInArrow(logits, "quality int, x double")
+    cells = scored.groupBy("quality", F.floor(F.col("x") * CELLS).alias("c")).agg(F.avg("x").alias("x"), F.count(F.lit(1)).alias("n")).collect()
+    drop(rows)
+    y, _, x, n = np.array(sorted(map(tuple, cells)), float).T
+    shares = [sum(k for (q, _), (k, _) in found.items() if q == label) for label in (0, 1)]
+    w = n * np.where(y == 1, shares[1] / n[y == 1].sum(), shares[0] / n[y == 0].sum())
+    mean = (n * x * x).sum() / n.sum()
     a, b = 1.0, 0.0
     for _ in range(400):  # a logistic curve by gradient, with the labels' true shares as weights
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
         d = w * (y - p) / w.sum()
-        a, b = a + 0.5 * (d @ x) / max(1.0, (x * x).mean() * 0.25) + 0.002 * (1 - a), b + 0.5 * d.sum()
+        a, b = a + 0.5 * (d @ x) / max(1.0, mean * 0.25) + 0.002 * (1 - a), b + 0.5 * d.sum()
     chain.scale, chain.shift = float(a), float(b)
     return chain
 
@@ -270,17 +319,14 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def quality_model(spark: SparkSession, sf_dir: str, per_label: int = 2000) -> Chain:
-    """Learnt from the labelled rows of documents that aren't held out; texts with clashing labels keep each."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text").where(~held_out())
-    marks = read(spark, sf_dir, "labels").where("quality IN (0, 1)").where(~held_out()).select(F.col("doc_id").alias("_l"), F.col("quality").cast("int").alias("quality"))
-    u = F.pmod(F.xxhash64(F.lit(9), "_l"), F.lit(1_000_003)) / 1_000_003.0
-    n = {r["quality"]: r["n"] for r in marks.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
-    wanted = F.lit(False)
-    for q, k in n.items():  # fewer rows meet in the join; fit() chooses among the same by the same hash
-        wanted = wanted | ((F.col("quality") == q) & (u < min(1.0, per_label / k)))
-    chosen = F.broadcast(marks.where(wanted))  # about per_label rows of each label, whatever the input
-    return fit(docs.join(chosen, docs["doc_id"] == F.col("_l")).select("doc_id", "text", "quality"), 10 * per_label, n)
+def quality_model(spark: SparkSession, sf_dir: str) -> Chain:
+    """Learnt from all labelled rows of documents that aren't held out; texts with clashing labels keep each.
+
+    Features go through the join instead of texts, which are several times larger.
+    """
+    docs = featured(read(spark, sf_dir, "documents").where(~held_out() & F.col("doc_id").isNotNull()).select("doc_id", "text", F.lit(None).cast("int").alias("quality"))).drop("quality")
+    marks = read(spark, sf_dir, "labels").where("quality IN (0, 1)").where(~held_out()).select(F.col("doc_id").cast("long").alias("_l"), F.col("quality").cast("int").alias("quality"))
+    return fit_featured(docs.join(marks, docs["doc_id"] == F.col("_l")).select("doc_id", "quality", "own", "size"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
